@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
     if not batch.num_rows:
         return
     col = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.binary_length(col).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(col).fill_null(0), dtype=np.int64)
     ends, start, n = np.cumsum(sizes), 0, batch.num_rows
     while start < n:
         base = ends[start - 1] if start else 0

@@ -31,6 +31,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import suffix_dedup
+
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import packing
 
@@ -38,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_bpe_round_trip, op5_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_bpe_round_trip, op5_simhash, op6_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
