@@ -222,16 +222,34 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     return inside.union(between)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
-    found = checkpoint(fingerprints(docs, ("doc_id",), shingle))
-    first = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def _grouped(found: DataFrame, least, radius: int, tile: int) -> DataFrame:
+    """(fp, least): the least of each group of linked fingerprints, by an aggregate of found's rows."""
+    first = checkpoint(found.groupBy("fp").agg(least.alias("first")))
     joined = components(links(first.select("fp"), radius, tile))
     group = first.join(joined, first["fp"] == joined["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("c")
     )
-    least = group.groupBy("c").agg(F.min("first").alias("component_id"))
-    by_fp = group.join(least, "c").select("fp", "component_id")
+    return group.join(group.groupBy("c").agg(F.min("first").alias("least")), "c").select("fp", "least")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
+    found = checkpoint(fingerprints(docs, ("doc_id",), shingle))
+    by_fp = _grouped(found, F.min("doc_id"), radius, tile)
     return found.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """docs with one row of each group: the smallest doc_id (a null one only if the group has no other), then text hash.
+
+    Rows equal in doc_id and text are one row. The rows that stay come back by a semi-join on those two.
+    """
+    columns = docs.columns
+    marked = docs.withColumn("_text_hash", F.xxhash64(docs["text"]))
+    found = checkpoint(fingerprints(marked, ("doc_id", "_text_hash"), shingle))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text_hash").alias("hash"))
+    kept = _grouped(found, F.min(order), radius, tile).select("least.id", "least.hash").distinct()
+    same = marked["doc_id"].eqNullSafe(kept["id"]) & (marked["_text_hash"] == kept["hash"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*columns)

@@ -274,7 +274,10 @@ def merge_spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
 def remove_repeats(
     docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP
 ) -> DataFrame:
-    """`keep` columns, kept (binary: the bytes left), n_bytes, and spans (array of removed [start, stop) byte pairs)."""
+    """`keep` columns, kept (binary: the bytes left), n_bytes, and spans (array of removed [start, stop) byte pairs).
+
+    A span may begin or end inside a character; as_text() drops what is left of one.
+    """
     source = docs.select(
         F.xxhash64(*[docs[c] for c in keep], docs[text]).alias("key"), docs[text].cast("string").alias("text"),
         *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)],
@@ -358,6 +361,19 @@ def remove_repeats(
     )
 
 
+def as_text(found: DataFrame, column: str = "text") -> DataFrame:
+    """The operator's rows with what is kept as a string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], column])
+
+    rest = [c for c in found.columns if c not in ("kept", "n_bytes", "spans", column)]
+    schema = T.StructType([found.schema[c] for c in rest] + [T.StructField(column, T.StringType())])
+    return found.select(*rest, "kept").mapInArrow(run, schema)
+
+
 def digests(found: DataFrame) -> DataFrame:
     """The query's columns from the operator's: sizes, number of spans and a digest of what is kept."""
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
