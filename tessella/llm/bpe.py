@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from tessella.llm.common import as_text, map_text
 from tessella.llm.packing import byte_symbols
@@ -30,7 +31,10 @@ NONE = np.iinfo(np.int64).max
 
 
 class WordBpe:
-    """A tokenizers file: NFC, white space to one space, lower case; split by its pattern; byte symbols with a word end."""
+    """A tokenizers file: NFC, white space to one space, lower case; split by its pattern; byte symbols with a word end.
+
+    Texts with characters beyond the common Latin ones are folded and split by the library, whose Unicode tables count.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -52,7 +56,10 @@ class WordBpe:
         self.by_rank = np.zeros(len(merges), np.int64)
         self.by_rank[first] = made[first]
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.space = regex.compile(r"\s+")
+        # beyond these letters, Unicode tables of another age would class or fold some characters otherwise
+        self.rare = regex.compile("[^\u0000-\u024f\u2010-\u2027\u20ac]")
+        self.theirs = Tokenizer.from_file(path).normalizer
+        self.cut = pre_tokenizers.Split(Regex(self.split.pattern), "removed", invert=True)
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.known: dict[str, tuple[int, str, str]] = {}
 
@@ -107,11 +114,12 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         if not text:
             return []
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        else:
+        if text.isascii():
             text = text.lower()
+        elif self.rare.search(text):
+            return [w for w, _ in self.cut.pre_tokenize_str(self.theirs.normalize_str(text))]
+        else:
+            text = unicodedata.normalize("NFC", text).lower()
         # white space separates words wherever it stands, and no word holds any; runs need no rewriting here
         return self.split.findall(text)
 

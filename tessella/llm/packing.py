@@ -10,6 +10,7 @@ one by one; equal lengths keep their row order; an empty table gives no rows; ex
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm.common import as_text, slices
+from tessella.llm.common import as_text, one_thread, slices
 
 WINDOW, END_ID = 2048, 1
 #: Pieces that one round of packing holds; a partition with more starts a new round.
@@ -92,23 +93,40 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level vocabulary of a tokenizers file as a tiktoken encoding, which gives the same ids faster.
+class Encoder:
+    """ids as the tokenizers library gives for a byte-level file.
 
-    In that file ids follow merge order, so an id is its rank; the test compares both libraries.
+    Ids in that file follow merge order, so an id is its rank and tiktoken gives the same ids, faster. Texts with
+    characters beyond the common Latin ones go to the library itself, whose Unicode tables count.
     """
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    symbols = byte_symbols()
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(symbols[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
-    pattern = (
-        r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the byte-level pre-tokenizer's
-    )
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def __init__(self, path: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        symbols = byte_symbols()
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
+        # the byte-level pre-tokenizer's pattern
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.special = set(special)
+        self.slow = Tokenizer.from_file(path)
+        self.slow.no_truncation()
+        self.slow.no_padding()
+        self.rare = re.compile("[^\u0000-\u024f\u2010-\u2027\u20ac]")
+
+    def __call__(self, text: str) -> list[int]:
+        if not text.isascii() and self.rare.search(text):
+            return self.slow.encode(text, add_special_tokens=False).ids
+        return self.fast.encode(text, allowed_special=self.special)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -121,6 +139,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        one_thread()
         out, enc = to_arrow_schema(schema), encoder(path)
         base, used = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []
@@ -141,7 +160,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
             for part in slices(batch, "text"):
                 rows = []
                 for doc, text in zip(part.column(0).to_pylist(), as_text(part.column(1)), strict=True):
-                    ids = enc.encode(text, allowed_special="all")
+                    ids = enc(text)
                     ids.append(end_id)
                     raw, n = memoryview(np.array(ids, "<u4").tobytes()), len(ids)
                     for start in range(0, n, window):
