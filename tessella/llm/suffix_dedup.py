@@ -10,7 +10,7 @@
    passage within as many contexts) has its windows counted by digest instead, over all tasks.
 4. The repeated runs return to their documents, where they are merged and cut out.
 
-Texts are shuffled compressed, once; both joins with them share that exchange.
+Texts are shuffled compressed, and only to meet their regions and, in the end, their runs.
 
 Defined results: null text is empty and keeps nothing; texts under `length` bytes keep all; repeated rows are texts of
 their own, so they remove each other; a row is known by a hash of its id and text, equal rows share it.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import as_bytes, checkpoint, slices
+from tessella.llm.common import as_bytes, release, slices, written
 from tessella.llm.suffix_array import suffix_array
 
 LENGTH, GRAM, GROUP = 200, 100, 1500
@@ -271,54 +271,71 @@ def merge_spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(
-    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP
-) -> DataFrame:
-    """`keep` columns, kept (binary: the bytes left), n_bytes, and spans (array of removed [start, stop) byte pairs).
+def _repeated_regions(source: DataFrame, packed: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(key, gram, region, first) of the regions whose anchor repeats, and (gram, region, runs of repeated windows).
 
-    A span may begin or end inside a character; as_text() drops what is left of one.
+    Each step is a written table, so nothing is computed twice and shuffles of done steps can go. Counts by a key are
+    tables of their own before they are joined back: the other side's partition of a hot key can then be split.
     """
-    source = docs.select(
-        F.xxhash64(*[docs[c] for c in keep], docs[text]).alias("key"), docs[text].cast("string").alias("text"),
-        *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)],
-    )
-    found = source.select("key", "text").mapInArrow(_anchor_rows(length, gram), "h long, key long, at long")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    sought = found.join(twice, "h", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at"))
-
-    kinds = [T.StructField("z", T.BinaryType())] + [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    packed = source.mapInArrow(
-        _compressed([f"c{i}" for i in range(len(keep))]),
-        T.StructType([T.StructField("key", T.LongType()), T.StructField("row", T.StructType(kinds))]),
-    )
-    listed = sought.select(F.col("key").alias("k"), "at")
-    regions = (
-        packed.join(listed, packed["key"] == listed["k"]).select("key", "row", "at")
-        .mapInArrow(_regions(length, gram), "key long, gram long, region long, first long, left int, rest binary")
+    spark = source.sparkSession
+    found = written(source.select("key", "text").mapInArrow(_anchor_rows(length, gram), "h long, key long, at long"), "anchors")
+    twice = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-repeated")
+    sought = written(
+        found.join(twice, "h", "left_semi").groupBy(F.col("key").alias("k")).agg(F.collect_set("at").alias("at")), "anchors-sought"
     )
-    distinct = checkpoint(
-        regions.groupBy("gram", "region").agg(F.count("*").alias("n"), F.first("left").alias("left"), F.first("rest").alias("rest"))
+    release(spark)
+    regions = written(
+        packed.join(sought, packed["key"] == sought["k"]).select("key", "row", "at")
+        .mapInArrow(_regions(length, gram), "key long, gram long, region long, first long, left int, rest binary"), "regions",
+    )
+    release(spark)
+    distinct = written(
+        regions.groupBy("gram", "region").agg(F.count("*").alias("n"), F.first("left").alias("left"), F.first("rest").alias("rest")), "regions-distinct"
     )
-    stats = distinct.groupBy("gram").agg(F.count("*").alias("d"), F.sum("n").alias("all")).where("all > 1")
-    cols = ["gram", "region", "n", "left", "rest", "d"]
-    judged = distinct.join(stats, "gram").select(*cols)
-    alone = judged.where("d = 1").select(
+    once = F.sum((F.col("n") == 1).cast("long"))
+    stats = distinct.groupBy("gram").agg(F.count("*").alias("d"), once.alias("once"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    stats = written(stats, "grams")
+    release(spark)
+    cols = ["gram", "region", "n", "left", "rest"]
+    judged = distinct.join(stats, "gram")
+    # nothing is left to ask where every region of an anchor repeats whole
+    whole = judged.where("once = 0").select(
         "gram", "region", F.array(F.lit(0), (F.length("rest") - (length - gram)).cast("int")).alias("runs")
     )
     some = (
-        judged.where(f"d between 2 and {group}").select(*cols[:5]).repartition("gram").sortWithinPartitions("gram")
+        judged.where(f"once > 0 and d <= {group}").select(*cols).repartition("gram").sortWithinPartitions("gram")
         .mapInArrow(_grouped(length, gram), "gram long, region long, runs array<int>")
     )
-    windows = judged.where(f"d > {group}").select(*cols[:5]).mapInArrow(
+    windows = judged.where(f"once > 0 and d > {group}").select(*cols).mapInArrow(
         _window_rows(length, gram), "gram long, region long, w int, digest binary, n long"
     )
-    common = windows.groupBy("gram", "digest").agg(F.sum("n").alias("n")).where("n > 1").select("gram", "digest")
+    common = written(windows.groupBy("gram", "digest").agg(F.sum("n").alias("n")).where("n > 1").select("gram", "digest"), "windows-repeated")
     many = (
         windows.select("gram", "digest", "region", "w").join(common, ["gram", "digest"])
         .select("gram", "region", F.array("w", "w").alias("runs"))
     )
-    runs = alone.union(some).union(many)
+    runs = written(whole.union(some).union(many), "runs")
+    release(spark)
+    return regions, runs
+
 
+def remove_repeats(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP
+) -> DataFrame:
+    """`keep` columns, kept (binary: the bytes left), n_bytes, and spans (array of removed [start, stop) byte pairs).
+
+    A span may begin or end inside a character; as_text() drops what is left of one.
+    """
+    source = docs.select(
+        F.xxhash64(*[docs[c] for c in keep], docs[text]).alias("key"), docs[text].cast("string").alias("text"),
+        *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)],
+    )
+    kinds = [T.StructField("z", T.BinaryType())] + [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    packed = source.mapInArrow(
+        _compressed([f"c{i}" for i in range(len(keep))]),
+        T.StructType([T.StructField("key", T.LongType()), T.StructField("row", T.StructType(kinds))]),
+    )
+    regions, runs = _repeated_regions(source, packed, length, gram, group)
     places = regions.select("key", "gram", "region", "first").join(runs, ["gram", "region"])
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)),
