@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def cells(rows: DataFrame, size: float, min_x: str, min_y: str, max_x: str, max_y: str) -> DataFrame:
@@ -55,9 +57,6 @@ def area_intersecting(objects: DataFrame, shapes: DataFrame, size: float, area:
 
 def exact_polygons(op: str) -> Callable:
     """A pandas predicate over WKB columns: 'intersects', 'covered_by' or the shared 'area'."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         from tessella.kernels import overlay, wkb

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import zlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
@@ -25,8 +26,6 @@ def decompress(data: bytes, mode: str | None = None) -> bytes:
 
 
 def gzipped(column: str, mode: str = "gzip", level: int = 6) -> Column:
-    import pandas as pd
-
     @pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else b if b[:2] == b"\x1f\x8b" else compress(bytes(b), mode, level))
