@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(key: Column | str, kind: str = "long") -> Column:
+    """The same key as a new expression. An aggregate's rows lie by its key already, so a join on that key would not move
+    them, and then the other side's partition of a hot key cannot be split; joined on this, both sides are exchanged."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.concat(c, F.lit("") if kind == "string" else F.lit(b"")) if kind != "long" else c + F.lit(0).cast("long")
+
+
 def release(spark: SparkSession) -> None:
     """Ask the driver to drop shuffle files of finished jobs that nothing refers to any more."""
     gc.collect()

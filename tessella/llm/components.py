@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpoint
+from tessella.llm.common import apart, checkpoint
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     pairs = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     # a > b in a small star: ties a node's smaller neighbours to the least of them
     least = pairs.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m"))
-    tied = pairs.join(least, "a")
+    tied = pairs.join(least.select(apart("a").alias("k"), "m"), F.col("a") == F.col("k"))
     if large:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import as_bytes, checkpoint, map_text
+from tessella.llm.common import apart, as_bytes, checkpoint, map_text
 from tessella.llm.components import components
 
 TILE = 4096
@@ -194,20 +194,21 @@ def _paired(radius: int):
 def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """(x, y) pairs of distinct fingerprints that connect all those within the radius. fps: one column, distinct."""
     dealt = fps.mapInArrow(_dealt(radius), "bucket long, fp long")
-    size = dealt.groupBy("bucket").agg(F.count("*").alias("n"))
-    large = size.where(F.col("n") > tile)
-    shared = size.where(F.col("n").between(2, tile)).select("bucket")
-    small = dealt.join(shared, "bucket", "left_semi")
+    size = dealt.groupBy("bucket").agg(F.count("*").alias("n")).select(apart("bucket").alias("k"), "n")
+    large = size.where(F.col("n") > tile).select("k")
+    shared = size.where(F.col("n").between(2, tile)).select("k")
+    small = dealt.join(shared, F.col("bucket") == F.col("k"), "left_semi")
     inside = (
         small.repartition("bucket").sortWithinPartitions("bucket", F.bit_count("fp")).select("bucket", "fp")
         .mapInArrow(_within(radius), "x long, y long")
     )
     # a bucket beyond a tile: tiles by bit count and a hash, of about a tile each
     count = F.bit_count("fp").alias("ones")
-    big = dealt.join(large.select("bucket"), "bucket").select("bucket", "fp", count)
+    big = dealt.join(large, F.col("bucket") == F.col("k"), "left_semi").select("bucket", "fp", count)
     cut = big.groupBy("bucket", "ones").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    cut = cut.select(apart("bucket").alias("b2"), F.col("ones").alias("o2"), "parts")
     tiles = (
-        big.join(cut, ["bucket", "ones"])
+        big.join(cut, (F.col("bucket") == F.col("b2")) & (F.col("ones") == F.col("o2")))
         .groupBy("bucket", "ones", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("sub"))
         .agg(F.collect_list("fp").alias("fps"))
     )
@@ -229,14 +230,15 @@ def _grouped(found: DataFrame, least, radius: int, tile: int) -> DataFrame:
     group = first.join(joined, first["fp"] == joined["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("c")
     )
-    return group.join(group.groupBy("c").agg(F.min("first").alias("least")), "c").select("fp", "least")
+    lowest = group.groupBy("c").agg(F.min("first").alias("least")).select(apart("c").alias("k"), "least")
+    return group.join(lowest, F.col("c") == F.col("k")).select("fp", "least")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
     found = checkpoint(fingerprints(docs, ("doc_id",), shingle))
     by_fp = _grouped(found, F.min("doc_id"), radius, tile)
-    return found.join(by_fp, "fp").select(
+    return found.join(by_fp.select(apart("fp").alias("k"), "least"), F.col("fp") == F.col("k")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
