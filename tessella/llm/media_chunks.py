@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import as_bytes, checkpoint, filesystem, new_folder, slices
+from tessella.llm.common import apart, as_bytes, checkpoint, filesystem, new_folder, slices
 
 UNIT, RATE = 192, 8000
 LEAST, MOST, BITS = 512, 16_384, 11
@@ -175,8 +175,9 @@ def recipes(stored: DataFrame) -> DataFrame:
     """(row, recipe): each document's chunks in order, every digest at its one place."""
     each = stored.select("row", F.posexplode("chunks").alias("seq", "c")).select("row", "seq", "c.digest", "c.pack", "c.at", "c.packed")
     place = each.groupBy("digest").agg(F.min(F.struct("pack", "at", "packed")).alias("place"))
+    place = place.select(apart("digest", "binary").alias("of"), "place")
     return (
-        each.select("row", "seq", "digest").join(place, "digest")
+        each.select("row", "seq", "digest").join(place, F.col("digest") == F.col("of"))
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "place"))).alias("recipe"))
     )
