@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import checkpoint, filesystem, new_folder, slices
+from tessella.llm.common import apart, checkpoint, filesystem, new_folder, slices
 
 ARCHIVE_BYTES = 64 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -191,7 +191,7 @@ def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     long = F.length("payload") >= min_revisit
     # digests that occur twice are few; their least page is found before any payload moves
     twice = p.where(long).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).where("n > 1")
-    return p.join(twice.select(F.col("digest").alias("d2"), "least"), long & (F.col("digest") == F.col("d2")), "left").select(
+    return p.join(twice.select(apart("digest", "string").alias("d2"), "least"), long & (F.col("digest") == F.col("d2")), "left").select(
         "page_id", "url", "payload", "digest", "least"
     )
 
@@ -287,9 +287,9 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_revisit: int = 1
             F.length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("found"),
         )
     )
-    sizes = own.where("record_type = 'response'").groupBy(F.col("found").alias("named_digest")).agg(F.max("n").alias("size"))
+    sizes = own.where("record_type = 'response'").groupBy("found").agg(F.max("n").alias("size")).select(apart("found", "string").alias("of"), "size")
     damaged = F.raise_error(F.concat(F.lit("payload differs from its digest: page "), F.col("page_id").cast("string")))
-    return own.join(sizes, "named_digest", "left").select(
+    return own.join(sizes, F.col("named_digest") == F.col("of"), "left").select(
         "page_id",
         F.when(F.col("size").isNull() | (F.col("found") != F.col("named_digest")), damaged.cast("long")).otherwise(F.col("size")).alias("payload_bytes"),
         F.col("named_digest").alias("payload_digest"),
