@@ -6,6 +6,9 @@ All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +16,40 @@ from tessella.llm import packing, quality_rules, simhash, suffix_dedup, toxicity
 from tessella.llm.common import labelled_sample, new_folder, table
 
 
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _own_names(stage: Callable) -> Callable:
+    """Columns beyond those of `documents` go through a stage under names that no operator uses."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        return stage(spark, docs.toDF(*[c if c in DOCUMENTS else f"extra_{i}" for i, c in enumerate(names)]), sf_dir).toDF(*names)
+
+    return run
+
+
+@_own_names
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.evaluate(docs, tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
+@_own_names
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, finds clean."""
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, toxicity_cnn.MAX_PER_CLASS)
     return toxicity_cnn.score(docs, toxicity_cnn.train(sample), tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
 
 
+@_own_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return simhash.keep_one(docs)
 
 
+@_own_names
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less every byte under a repeated string of 200 bytes; n_chars follows the text."""
     rest = tuple(c for c in docs.columns if c not in ("text", "n_chars"))

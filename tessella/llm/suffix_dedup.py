@@ -13,7 +13,8 @@
 Texts are shuffled compressed, and only to meet their regions and, in the end, their runs.
 
 Defined results: null text is empty and keeps nothing; texts under `length` bytes keep all; repeated rows are texts of
-their own, so they remove each other; a row is known by a hash of its id and text, equal rows share it.
+their own, so they remove each other; a row is known by a hash of its kept columns and text, equal rows share it;
+kept columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -326,6 +327,7 @@ def remove_repeats(
 
     A span may begin or end inside a character; as_text() drops what is left of one.
     """
+    keep = tuple(c for c in keep if c not in ("kept", "n_bytes", "spans"))
     source = docs.select(
         F.xxhash64(*[docs[c] for c in keep], docs[text]).alias("key"), docs[text].cast("string").alias("text"),
         *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)],
