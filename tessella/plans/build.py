@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import sys
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from tessella.functions import attributes as A
 from tessella.functions import projection as P
@@ -223,6 +225,42 @@ def external_features(spark: SparkSession, layer: C.Layer, box, remap=None, firs
     return projected.select(*cols).mapInArrow(run, render.FEATURE)
 
 
+def _packed(column: Column, make) -> Column:
+    """WKB of a struct column, by a function of its row as a dict."""
+
+    @pandas_udf("binary")
+    def run(s: pd.DataFrame) -> pd.Series:
+        return pd.Series([make(r) for r in s.to_dict("records")])
+
+    return run(column)
+
+
+def point_geometry(x: str, y: str) -> Column:
+    return _packed(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), lambda r: wkb.dump(wkb.POINT, (r["x"], r["y"])))
+
+
+def box_polygon(min_x: str, min_y: str, max_x: str, max_y: str, projected: bool = True) -> Column:
+    """A box in degrees as a polygon in lon/latp (or lon/lat)."""
+    up = render._latp if projected else float
+
+    def make(r):
+        w, s, e, n = r["a"], up(r["b"]), r["c"], up(r["d"])
+        return wkb.dump(wkb.MULTIPOLYGON, [[[(w, s), (e, s), (e, n), (w, n), (w, s)]]])
+
+    return _packed(F.struct(*[F.col(c).cast("double").alias(k) for c, k in zip((min_x, min_y, max_x, max_y), "abcd", strict=True)]), make)
+
+
+def line_of(ways: DataFrame) -> DataFrame:
+    """(id, geom): lines in lon/latp of ways with `coords`."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [[(p["lon"], render._latp(p["lat"])) for p in line] for line in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wkb.dump(wkb.LINE, r) for r in rows], pa.binary())], names=["id", "geom"])
+
+    return ways.select("id", "coords").mapInArrow(run, "id long, geom binary")
+
+
 def degrees(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", (F.col("lon_e7") / 1e7).alias("lon"), (F.col("lat_e7") / 1e7).alias("lat"), "tags")
 

