@@ -92,6 +92,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessella.llm import quality_rules
+    from tessella.llm import quality_rules, warc_zip
 
-    return {"op1_quality_rules": quality_rules.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op7_warc_zip": warc_zip.ORACLE}

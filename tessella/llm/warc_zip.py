@@ -296,3 +296,14 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_revisit: int = 1
         "record_type",
         "refers_to",
     )
+
+
+#: DuckDB SQL over `pages` for the same rows.
+ORACLE = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, min(page_id) AS least FROM p GROUP BY digest)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN p.n >= 100 AND p.page_id <> g.least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.n >= 100 AND p.page_id <> g.least THEN g.least END AS refers_to
+FROM p JOIN g ON p.digest = g.digest
+"""

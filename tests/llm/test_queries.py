@@ -22,14 +22,16 @@ def texts(spark, sf=SF):
     return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
 
 
-def test_op1_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
-    sql = con.sql(queries.oracle_sql()["op1_quality_rules"])
-    df = queries.queries()["op1_quality_rules"](spark, SF)
+    sql = con.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(sql.columns)
     assert sorted(map(tuple, df.select(*sql.columns).collect())) == sorted(map(tuple, sql.fetchall()))
 
 
