@@ -102,3 +102,25 @@ def first_role_node(relations: DataFrame, nodes: DataFrame, roles: list[str]) ->
         m.join(n, m["ref"] == n["node_id"]).withColumn("_n", F.row_number().over(best)).where("_n = 1")
         .select("rel_id", "node_id", "role", "lon", "lat")
     )
+
+
+def with_ancestors(relations: DataFrame) -> DataFrame:
+    """relations with `ancestors`: (id, tags) of every relation above them, by id; what a rule over a relation's family reads."""
+    edges = members(relations).where(F.col("type") == RELATION).select(F.col("ref").alias("child"), F.col("rel_id").alias("parent"))
+    above = ancestors(edges)
+    tags = relations.select(F.col("id").alias("_a"), F.col("tags").alias("_t"))
+    # a map can't be sorted by, so the list is sorted by id alone
+    pair = F.struct(F.col("ancestor").alias("id"), F.col("_t").alias("tags"))
+    listed = above.join(tags, above["ancestor"] == tags["_a"]).groupBy(F.col("id").alias("_id")).agg(F.collect_list(pair).alias("ancestors"))
+    by_id = F.expr("array_sort(ancestors, (l, r) -> CASE WHEN l.id < r.id THEN -1 WHEN l.id > r.id THEN 1 ELSE 0 END)")
+    return relations.join(listed.select("_id", by_id.alias("ancestors")), relations["id"] == F.col("_id"), "left").drop("_id")
+
+
+def label_tags(nodes: DataFrame, relations: DataFrame, key: str, role: str = "label") -> DataFrame:
+    """nodes whose tag `key` is filled, where they lack it, from the first relation that they label."""
+    found = parent_tag(nodes, relations, NODE, key).where((F.col("role") == role) & (F.col("value") != ""))
+    first = found.groupBy(F.col("id").alias("_id")).agg(F.min_by("value", "rel_id").alias("_v"))
+    own = F.coalesce(F.col("tags")[key], F.lit(""))
+    filled = F.map_concat(F.map_filter("tags", lambda k, _: k != key), F.create_map(F.lit(key), F.col("_v")))
+    joined = nodes.join(first, nodes["id"] == first["_id"], "left")
+    return joined.withColumn("tags", F.when((own == "") & F.col("_v").isNotNull(), filled).otherwise(F.col("tags"))).drop("_id", "_v")

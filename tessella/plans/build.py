@@ -89,12 +89,15 @@ def _finish(rows: DataFrame, kind: str) -> DataFrame:
     return out.withColumns({"osm_id": F.col("feature_id"), "feature_id": F.col("id") * 4 + _OSM_KIND[kind], "source_pos": F.lit(0)})
 
 
-def node_features(nodes: DataFrame, profile: Profile) -> DataFrame | None:
-    """nodes: id, lon, lat, tags."""
+def node_features(nodes: DataFrame, profile: Profile, relations: DataFrame | None = None) -> DataFrame | None:
+    """nodes: id, lon, lat, tags. Tags that a profile takes from a labelled relation are joined before the rules."""
     if profile.node_rules is None:
         return None
     t = F.col("tags")
     kept = nodes.where((F.size(t) > 0) & significant(t, profile.node_keys))
+    if relations is not None and profile.accept_relation is not None:
+        for key in profile.settings.get("label_tags", ()):
+            kept = R.label_tags(kept, relations.where(profile.accept_relation(F.col("tags"))), key)
     return _geometries(_finish(rules.apply(kept, profile.node_rules(t)), "node"))
 
 
@@ -273,7 +276,7 @@ def features(spark: SparkSession, config: C.Config, profile: Profile, inputs: li
         nodes, ways, rels = (osm_pbf.read(spark, path, k) for k in osm_pbf.KINDS)
         nodes = degrees(nodes)
         w = ways.select("id", "refs", "tags")
-        found += [node_features(nodes, profile), way_features(w, nodes, profile, rels, skip_integrity), relation_features(rels, w, nodes, profile)]
+        found += [node_features(nodes, profile, rels), way_features(w, nodes, profile, rels, skip_integrity), relation_features(rels, w, nodes, profile)]
     found += [external_features(spark, la, config.bounding_box, profile.remap) for la in config.layers if la.source]
     found = [f for f in found if f is not None]
     out = found[0]

@@ -281,7 +281,7 @@ def _aerodrome(t: Column, kind: Column, geometry: str) -> Rule:
 
 
 def schema_nodes(t: Column) -> list[Rule]:
-    """Node rules of the full profile. An object may have a column `label_iso` for countries labelled by a relation."""
+    """Node rules of the full profile."""
     place, natural, found = find(t, "place"), find(t, "natural"), place_attributes(t)
     metre, feet = elevation(t)
     house = find(t, "addr:housenumber")
@@ -465,7 +465,7 @@ SIMPLE = Profile(simple_nodes, simple_ways, node_keys=["amenity", "historic", "l
 SCHEMA = Profile(
     schema_nodes, schema_ways,
     node_keys=["addr:housenumber", "aerialway", "aeroway", "amenity", "barrier", "highway", "historic", "leisure", "natural", "office", "place", "railway", "shop", "sport", "tourism", "waterway"],
-    accept_relation=accept_boundaries, remap=remap_external,
+    accept_relation=accept_boundaries, remap=remap_external, settings={"label_tags": ["ISO3166-1:alpha2"]},
 )
 COASTLINE = Profile(node_keys=[], remap=remap_external)
 PROFILES = {"simple": SIMPLE, "schema": SCHEMA, "coastline": COASTLINE}

@@ -179,6 +179,15 @@ def test_ancestors_with_cycles(spark):
     assert {(r.id, r.ancestor) for r in R.ancestors(e).collect()} == {(1, 2), (1, 3), (2, 3), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)}
 
 
+def test_ancestor_and_label_tags(spark):
+    kind = "id long, tags map<string,string>, members array<struct<seq:int,type:int,ref:long,role:string>>"
+    rels = spark.createDataFrame([(1, {"n": "a"}, [(0, 0, 50, "label")]), (2, {"n": "b", "iso": "XX"}, [(0, 2, 1, ""), (1, 0, 50, "label"), (2, 0, 51, "x")]), (3, {"n": "c"}, [(0, 2, 2, "")])], kind)
+    got = {r.id: [(a.id, a.tags["n"]) for a in r.ancestors or []] for r in R.with_ancestors(rels).collect()}
+    assert got == {1: [(2, "b"), (3, "c")], 2: [(3, "c")], 3: []}
+    nodes = spark.createDataFrame([(50, {"place": "country"}), (51, {"place": "country"}), (52, {"iso": "YY"})], "id long, tags map<string,string>")
+    assert {r.id: r.tags.get("iso") for r in R.label_tags(nodes, rels, "iso").collect()} == {50: "XX", 51: None, 52: "YY"}
+
+
 def test_config():
     c = conf()
     assert c.groups() == [["place"], ["poi"], ["transportation"], ["transportation_name"], ["waterway"], ["water", "building"]]
