@@ -13,7 +13,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from tessella.llm.common import as_text, map_text
+from tessella.llm.common import as_text, map_text, resident
 from tessella.llm.packing import byte_symbols
 
 #: Words whose ids a task remembers; the table is emptied when full.
@@ -156,9 +155,8 @@ class WordBpe:
         return " ".join(self.text_of[i] for i in ids if i in self.text_of)
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    return resident(("word-bpe", path), lambda: WordBpe(path))
 
 
 def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -33,22 +35,55 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = stop
 
 
+#: Rows of an Arrow batch, for sessions that left Spark's default: whole texts are long.
+BATCH_ROWS = 1000
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """A worker's one large table (a vocabulary, say), kept between its tasks until another is asked for."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def tidy() -> None:
+    """Give memory that a task has freed back to the machine: workers live on, and idle ones count too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable[[pa.Array], list]],
     fields: list[tuple[str, T.DataType]],
     keep: list[str],
     text: str = "text",
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """`keep` columns of df plus `fields`, computed from whole texts.
 
     `make()` runs once a task and gives a function from an Arrow string array (nulls
-    included) to one array or list per field. A kept column that a field names anew is
-    dropped; other columns of df are never read.
+    included) to one array or list per field, about `limit` bytes of text at a time. A kept column that a field
+    names anew is dropped; other columns of df are never read.
     """
     new = {name.lower() for name, _ in fields}
     kept = [c for c in keep if c.lower() not in new]
-    source = [df[c].alias(f"k{i}") for i, c in enumerate(kept)] + [df[text].cast("string").alias("t")]
+    source = [df[c].alias(f"k{i}") for i, c in enumerate(kept)]
+    if text in kept and df.schema[text].dataType == T.StringType():
+        column, name = kept.index(text), f"k{kept.index(text)}"  # the text goes to Python once
+    else:
+        column, name = len(kept), "t"
+        source.append(df[text].cast("string").alias("t"))
     schema = T.StructType(
         [T.StructField(c, df.schema[c].dataType) for c in kept] + [T.StructField(n, t) for n, t in fields]
     )
@@ -59,15 +94,18 @@ def map_text(
 
         out, fn = to_arrow_schema(schema), make()
         for batch in batches:
-            for part in slices(batch, "t"):
-                made = fn(part.column(width))
+            for part in slices(batch, name, limit):
+                made = fn(part.column(column))
                 cols = [part.column(i).cast(out.field(i).type) for i in range(width)]
                 cols += [
                     (c if isinstance(c, pa.Array) else pa.array(c)).cast(out.field(width + j).type)
                     for j, c in enumerate(made)
                 ]
                 yield pa.RecordBatch.from_arrays(cols, schema=out)
+        del fn
+        tidy()
 
+    small_batches(df.sparkSession)
     return df.select(*source).mapInArrow(run, schema)
 
 

@@ -13,7 +13,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm.common import as_text, one_thread, slices
+from tessella.llm.common import as_text, one_thread, resident, slices, small_batches, tidy
 
 WINDOW, END_ID = 2048, 1
 #: Pieces that one round of packing holds; a partition with more starts a new round.
@@ -102,7 +101,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -113,20 +111,23 @@ class Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special = set(special)
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.path, self.slow = path, None
         self.rare = re.compile("[^\u0000-\u024f\u2010-\u2027\u20ac]")
 
     def __call__(self, text: str) -> list[int]:
         if not text.isascii() and self.rare.search(text):
+            if self.slow is None:  # read when first needed
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+                self.slow.no_truncation()
+                self.slow.no_padding()
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode(text, allowed_special=self.special)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return resident(("byte-bpe", path), lambda: Encoder(path))
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -177,5 +178,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
                     yield close()
         if held:
             yield close()
+        tidy()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import as_bytes, release, slices, written
+from tessella.llm.common import as_bytes, release, slices, small_batches, tidy, written
 from tessella.llm.suffix_array import suffix_array
 
 LENGTH, GRAM, GROUP = 200, 100, 1500
@@ -124,6 +124,7 @@ def _anchor_rows(length: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(keys), pa.array(at)], names=["h", "key", "at"]
                 )
+        tidy()
 
     return run
 
@@ -137,6 +138,7 @@ def _compressed(fields: list[str]):
                 rest = [part.column(i) for i in range(2, part.num_columns)]
                 row = pa.StructArray.from_arrays([pa.array(z, pa.binary()), *rest], names=["z", *fields])
                 yield pa.RecordBatch.from_arrays([part.column(0), row], names=["key", "row"])
+        tidy()
 
     return run
 
@@ -171,6 +173,7 @@ def _regions(length: int, gram: int):
                     rows = []
             if rows:
                 yield emit(rows)
+        tidy()
 
     return run
 
@@ -237,6 +240,7 @@ def _grouped(length: int, gram: int):
             yield emit(out)
         if group:
             yield emit(solve(group))
+        tidy()
 
     return run
 
@@ -279,6 +283,7 @@ def _repeated_regions(source: DataFrame, packed: DataFrame, length: int, gram: i
     tables of their own before they are joined back: the other side's partition of a hot key can then be split.
     """
     spark = source.sparkSession
+    small_batches(spark)
     found = written(source.select("key", "text").mapInArrow(_anchor_rows(length, gram), "h long, key long, at long"), "anchors")
     twice = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-repeated")
     sought = written(
@@ -374,6 +379,7 @@ def remove_repeats(
             made = [row.field(i + 1).cast(out.field(i).type) for i in range(len(keep))]
             made += [pa.array(x, out.field(len(keep) + i).type) for i, x in enumerate((kept, sizes, spans))]
             yield pa.RecordBatch.from_arrays(made, schema=out)
+        tidy()
 
     return (
         packed.join(per_doc, packed["key"] == per_doc["k"], "left").select("row", "runs").mapInArrow(cut, schema)

@@ -32,6 +32,8 @@ from tessella.llm.hashing import joined, mix, word_hashes
 BITS, DIM, FILTERS, WIDTHS, PREFIX, LEAST_TEXTS = 21, 12, 8, (1, 2, 3), 4, 5
 #: Updates that training makes at least, over however few texts.
 LEAST_STEPS = 250
+#: Text bytes scored at once: a window's filters take some ten times their words' room.
+SCORE_BYTES = 1 << 19
 #: Embedding rows: no word, and words without a row of their own.
 NONE, RARE = 0, 1
 THRESHOLD, MAX_PER_CLASS, LEAST_FOR_LANGUAGE = 0.3, 1500, 25
@@ -278,4 +280,4 @@ def score(docs: DataFrame, net: Cnn, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
         return one
 
-    return map_text(docs, make, [("score", T.DoubleType()), ("predicted", T.IntegerType())], list(keep))
+    return map_text(docs, make, [("score", T.DoubleType()), ("predicted", T.IntegerType())], list(keep), limit=SCORE_BYTES)

@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm.common import as_text, map_text
+from tessella.llm.common import as_text, map_text, resident
 
 SPACE, UNKNOWN_PENALTY, KNOWN_STRETCHES = "▁", 10, 200_000
 
@@ -89,9 +88,8 @@ class Counter:
         return tokens, score
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Counter:
-    return Counter(vocabulary(path))
+    return resident(("unigram", path), lambda: Counter(vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
