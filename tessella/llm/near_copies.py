@@ -1,0 +1,140 @@
+"""Near copies: documents whose sets of word shingles overlap by `similarity` or more (Jaccard), linked into groups.
+
+A document is the set of its lower-cased word shingles. Band keys of minimum hashes deal equal-banded sets to one place:
+a pair at similarity 0.8 misses all BANDS bands of ROWS hashes in about 3 of a million cases, a closer one less often.
+Every link is confirmed by the exact similarity of the two whole sets. First each set of a band is tried with the band's
+least set, which ties large groups together; then every pair of a band that is still in two groups. So no pair of a band
+is left out unless its two documents are in one group already.
+
+Defined results: texts with equal sets (null and empty ones too) are linked; a text of fewer words than a shingle is one
+shingle; repeated rows and null doc_ids are treated as by simhash.keep_one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessella.llm.common import apart, as_text, checkpoint, map_text, small_batches, tidy, written
+from tessella.llm.components import components
+
+BANDS, ROWS = 24, 4
+_SEED = 42
+
+
+def shingles(text: str, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    words = text.lower().encode().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, one = b" ".join(words), xxhash.xxh64_intdigest
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(length + 1) - length - 1
+    k = min(size, len(words))
+    stop = (start + length)[k - 1 :].tolist()
+    return np.unique(np.array([one(line[a:b], _SEED) for a, b in zip(start.tolist(), stop, strict=False)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key per band of minimum hashes; none for an empty set."""
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(_SEED)
+    mul = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        low = np.minimum(low, (hashes[None, i : i + 4096] * mul + add).min(axis=1))
+    return [xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+
+
+def _sets(docs: DataFrame, keep: tuple[str, ...], size: int) -> DataFrame:
+    """`keep` columns, fp (a digest of the set), n, hashes and bands of each document."""
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)])
+        whole = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole))
+
+    def make() -> Callable[[pa.Array], list]:
+        def run(col: pa.Array) -> list:
+            sets = [shingles(t, size) for t in as_text(col)]
+            fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), _SEED) for s in sets], np.uint64)
+            bands = [np.array(band_keys(s), np.uint64) for s in sets]
+            return [pa.array(fp.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), lists(sets), lists(bands)]
+
+        return run
+
+    longs = T.ArrayType(T.LongType())
+    return map_text(docs, make, [("fp", T.LongType()), ("n", T.IntegerType()), ("hashes", longs), ("bands", longs)], list(keep))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (x, y) pairs whose whole sets are similar."""
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    of = written(sets.join(ids, F.col("fp") == F.col("id"), "left_semi").select("fp", "hashes").dropDuplicates(["fp"]), "near")
+    left, right = of.toDF("fx", "hx"), of.toDF("fy", "hy")
+    both = pairs.join(left, F.col("x") == F.col("fx")).join(right, F.col("y") == F.col("fy")).select("x", "y", "hx", "hy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hx, hy = batch.column(2), batch.column(3)
+            near = [
+                similar(*(np.asarray(h[i].values).view(np.uint64) for h in (hx, hy)), similarity) for i in range(batch.num_rows)
+            ]
+            yield batch.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
+        tidy()
+
+    small_batches(pairs.sparkSession)
+    return checkpoint(both.mapInArrow(run, "x long, y long"))
+
+
+def links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(x, y) pairs of fp that connect all similar sets of a band. sets: fp, n, hashes, bands, repeats allowed."""
+    one = sets.select("fp", "n", "bands").dropDuplicates(["fp"])
+    dealt = checkpoint(one.select("fp", "n", F.explode("bands").alias("band")))
+    least = dealt.groupBy("band").agg(F.min(F.struct("fp", "n")).alias("low"), F.count("*").alias("rows")).where("rows > 1")
+    least = checkpoint(least.select(apart("band").alias("k"), F.col("low.fp").alias("y"), F.col("low.n").alias("m")))
+    shared = dealt.join(least, F.col("band") == F.col("k")).drop("k")
+    fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    first = checkpoint(shared.where((F.col("fp") > F.col("y")) & fits).select(F.col("fp").alias("x"), "y").distinct())
+    found = _confirmed(first, sets, similarity)
+    # pairs of a band in two groups: all of them are tried, whatever the first round said of the band's least set
+    group = components(found).select(apart("node").alias("g"), "component")
+    placed = shared.select("band", "fp", "n").join(group, F.col("fp") == F.col("g"), "left")
+    placed = checkpoint(placed.select("band", "fp", "n", F.coalesce("component", "fp").alias("c")))
+    mixed = placed.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select(apart("band").alias("k"))
+    open_ = checkpoint(placed.join(mixed, F.col("band") == F.col("k"), "left_semi"))
+    a = open_.select("band", F.col("fp").alias("x"), "n", F.col("c").alias("ca"))
+    b = open_.select(F.col("band").alias("band2"), F.col("fp").alias("y"), F.col("n").alias("m"), F.col("c").alias("cb"))
+    apart_yet = (F.col("band") == F.col("band2")) & (F.col("x") > F.col("y")) & (F.col("ca") != F.col("cb")) & fits
+    rest = a.join(b, apart_yet).select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
+    return found.union(_confirmed(checkpoint(rest), sets, similarity))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group: the smallest doc_id (a null one only if the group has no other), then text hash.
+
+    Rows equal in doc_id and text are one row. The rows that stay come back by a semi-join on those two.
+    """
+    columns = docs.columns
+    marked = docs.withColumn("_text_hash", F.xxhash64(docs["text"]))
+    sets = written(_sets(marked, ("doc_id", "_text_hash"), shingle), "shingles")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text_hash").alias("hash"))
+    first = checkpoint(sets.groupBy("fp").agg(F.min(order).alias("first")))
+    joined = components(links(sets, similarity))
+    group = first.join(joined, first["fp"] == joined["node"], "left").select("first", F.coalesce("component", "fp").alias("c"))
+    kept = group.groupBy("c").agg(F.min("first").alias("least")).select("least.id", "least.hash").distinct()
+    same = marked["doc_id"].eqNullSafe(kept["id"]) & (marked["_text_hash"] == kept["hash"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*columns)
