@@ -296,6 +296,16 @@ def simplify_levels(spark, d):
     return n.select("id", "z", F.round(level * 1e8).cast("long").alias("level_e8"), F.round(P.filter_area_level("z", "latp", F.lit(500.0), F.lit(10)) * 1e6).cast("long").alias("area_e6"))
 
 
+@query(f"""WITH {D.NODES}, z AS (SELECT unnest([6, 9, 13]) AS z), l AS (SELECT id, degrees(atan(exp(radians(latp)))) * 2 - 90 AS la FROM nodes)
+SELECT id, z, CASE WHEN z < 13 THEN CAST(round(degrees(30 / 6371000::DOUBLE / cos(radians(la))) * pow(2, 12 - z) * 1e8) AS BIGINT) ELSE 0 END AS level_e8,
+ CASE WHEN z < 10 THEN CAST(round(degrees(500 / 6371000::DOUBLE / cos(radians(la))) * pow(2, 9 - z) * 1e6) AS BIGINT) ELSE 0 END AS area_e6 FROM l, z""")
+def simplify_levels_all(spark, d):
+    """X17 X18, for every node"""
+    n = D.nodes(spark, d).withColumn("z", F.explode(F.array(*[F.lit(z) for z in (6, 9, 13)])))
+    level = P.simplify_level("z", "latp", F.lit(0.01), F.lit(30.0), F.lit(2.0), F.lit(13))
+    return n.select("id", "z", F.round(level * 1e8).cast("long").alias("level_e8"), F.round(P.filter_area_level("z", "latp", F.lit(500.0), F.lit(10)) * 1e6).cast("long").alias("area_e6"))
+
+
 # tags
 
 
