@@ -356,6 +356,25 @@ def kept_nodes(spark, d):
     return R.kept_nodes(n, D.ways(spark, d).where("id % 11 = 0"), F.col("p_size") > 40).select("id")
 
 
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+def used_ways_all(spark, d):
+    """J6 F5, by all relations"""
+    return R.used_ways(D.ways(spark, d), D.relations(spark, d)).select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+def used_nodes_all(spark, d):
+    """J7 R4, by all ways"""
+    return R.used_nodes(D.part_nodes(spark, d), D.ways(spark, d)).select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_size > 40 OR p_partkey IN (SELECT l_partkey FROM lineitem)")
+def kept_nodes_all(spark, d):
+    """J8, by all ways"""
+    n = D.part_nodes(spark, d).join(D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    return R.kept_nodes(n, D.ways(spark, d), F.col("p_size") > 40).select("id")
+
+
 @query(f"""WITH {D.REFS}, c AS (SELECT r.id, pos, CAST(round(({D.LON.format(k="p_partkey")}) * 10000) AS BIGINT) AS lon, CAST(round(({D.LAT.format(k="p_partkey")}) * 10000) AS BIGINT) AS lat
  FROM refs r JOIN part ON p_partkey = ref WHERE p_partkey % 10 <> 0),
 m AS (SELECT r.id, count(*) FILTER (p_partkey IS NULL OR p_partkey % 10 = 0) AS missing FROM refs r LEFT JOIN part ON p_partkey = ref GROUP BY r.id)
