@@ -66,6 +66,17 @@ def tile_corners(spark, d):
     return t.select("z", "x", "y", e6(P.tilex_to_lon("x", "z")).alias("west"), e6(P.tiley_to_latp("y", "z")).alias("north"), e6(P.tiley_to_lat("y", "z")).alias("north_lat"))
 
 
+@query(f"""WITH {D.NODES}, p AS (SELECT {D.tile(12)} FROM nodes), u AS (SELECT unnest(range(0, 13)) AS z),
+t AS (SELECT DISTINCT CAST(z AS INTEGER) AS z, x >> CAST(12 - z AS INTEGER) AS x, y >> CAST(12 - z AS INTEGER) AS y FROM p, u)
+SELECT z, x, y, CAST(round((x / pow(2, z) * 360 - 180) * 1e6) AS BIGINT) AS west, CAST(round((180 - y / pow(2, z) * 360) * 1e6) AS BIGINT) AS north,
+  CAST(round((degrees(atan(exp(radians(180 - y / pow(2, z) * 360)))) * 2 - 90) * 1e6) AS BIGINT) AS north_lat FROM t""")
+def tile_corners_all(spark, d):
+    """X5, of the tiles of every node"""
+    t = T.tile_set(T.index_points(D.nodes(spark, d), 12), 12)
+    e6 = lambda c: F.round(c * 1e6).cast("long")
+    return t.select("z", "x", "y", e6(P.tilex_to_lon("x", "z")).alias("west"), e6(P.tiley_to_latp("y", "z")).alias("north"), e6(P.tiley_to_lat("y", "z")).alias("north_lat"))
+
+
 @query(f"""WITH {D.NODES}, l AS (SELECT id, degrees(atan(exp(radians(latp)))) * 2 - 90 AS la FROM nodes)
 SELECT id, CAST(round(degrees(100 / 6371000::DOUBLE / cos(radians(la))) * 1e9) AS BIGINT) AS degp_e9,
   CAST(round(radians(0.01::DOUBLE) * 6371000 * cos(radians(la)) * 1e3) AS BIGINT) AS mm FROM l""")

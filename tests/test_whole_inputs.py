@@ -24,3 +24,10 @@ def test_semi_joins_over_every_reference(spark):
     found = {n: {r.id for r in Q.QUERIES[n](spark, SF).collect()} for n in ("used_ways_all", "used_nodes_all", "kept_nodes_all")}
     assert found["used_ways_all"] == orders & ids(spark, "lineitem", "l_orderkey")
     assert found["used_nodes_all"] == parts & used and found["kept_nodes_all"] >= parts & used
+
+
+def test_corners_of_every_tile(spark):
+    key = ("z", "x", "y")
+    found = Q.QUERIES["tile_corners_all"](spark, SF).select(*key).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, Q.QUERIES["tile_set"](spark, SF).select(*key).collect()))
+    assert max(r.x for r in found) >= 8 and max(r.y for r in found) >= 5
