@@ -6,18 +6,28 @@ themselves (small star); edges never multiply. Rounds go on until the edge set i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import apart, checkpoint
+from tessella.llm.common import checkpoint
+
+
+def _again(node: str, kind: T.DataType) -> Column:
+    """The same node (a long, or a struct of longs and flags) as a new expression; see common.apart."""
+    c, zero = F.col(node), F.lit(0).cast("long")
+    if not isinstance(kind, T.StructType):
+        return c + zero
+    return F.struct(*[(c[f.name] + zero if f.dataType == T.LongType() else c[f.name]).alias(f.name) for f in kind])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b): one round of a star. Minima are pre-aggregated before the join, which may split a hub's rows."""
+    kind = edges.schema["a"].dataType
     pairs = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     # a > b in a small star: ties a node's smaller neighbours to the least of them
     least = pairs.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m"))
-    tied = pairs.join(least.select(apart("a").alias("k"), "m"), F.col("a") == F.col("k"))
+    tied = pairs.join(least.select(_again("a", kind).alias("k"), "m"), F.col("a") == F.col("k"))
     if large:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -28,10 +38,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
-    edges: two long columns; loops, repeats and nulls are dropped. An empty table gives an empty one.
+    edges: two columns of one type, long or a struct (ordered by its fields, whose nulls come first); loops, repeats and null
+    nodes are dropped. An empty table gives an empty one.
     """
     x, y = edges.columns
-    e = edges.where(F.col(x) != F.col(y)).select(F.greatest(x, y).cast("long").alias("a"), F.least(x, y).cast("long").alias("b"))
+    e = edges.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     e = checkpoint(e.distinct())
     mark = None
     for _ in range(max_rounds):

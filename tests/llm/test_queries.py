@@ -12,6 +12,7 @@ from tessella.llm import packing, quality_rules, queries, simhash, subword_class
 from tessella.llm.common import labelled_sample
 from tests.llm.data import SF, awkward, frame
 from tests.llm.test_storage_and_dedup import brute_removal
+from tests.llm.test_near_copies import brute_least
 from tests.llm.test_text_operators import brute_components
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
@@ -84,7 +85,7 @@ def brute_pipeline(spark, sf):
     run = net.scorer()
     docs = {i: x for i, x in docs.items() if run([x.encode()])[0] < 0.3}
     ids = sorted(docs)
-    group = brute_components([simhash.fingerprint(docs[i].encode(), 4) for i in ids])
+    group = brute_least([docs[i] for i in ids])  # a stage's rule: five words, similarity 0.8
     docs = {i: docs[i] for k, i in enumerate(ids) if group[k] == k}
     ids, out, raw = sorted(docs), {}, [docs[i].encode() for i in sorted(docs)]
     count: dict = {}
