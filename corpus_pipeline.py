@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, toxicity, near copies by shingle sets, repeated passages, packing.
+"""The corpus pipeline: quality rules, toxicity, SimHash near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
 All but the last return the columns of `documents`.
@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import near_copies, packing, quality_rules, suffix_dedup, toxicity_cnn
+from tessella.llm import packing, quality_rules, simhash, suffix_dedup, toxicity_cnn
 from tessella.llm.common import labelled_sample, new_folder, table
 
 
@@ -46,7 +46,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_own_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more of their sets of five-word shingles."""
-    return near_copies.keep_one(docs, shingle=5, similarity=0.8)
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 @_own_names
