@@ -14,7 +14,7 @@ Tiles are filled so that any two fingerprints that may be linked meet in one, an
   of a million cases), tiles keep the pairs within the radius, and each link is confirmed on the two whole sets: first
   a forest of every tile, then whatever pairs of a tile are still in two groups.
 
-A bucket over TILE is cut into tiles by bit count and a hash, and each pair of tiles is dealt to a task of its own.
+A bucket over TILE is laid out by bit count and cut into tiles; pairs of tiles within reach are each dealt to a task.
 Groups come from components over nodes that are ordered as the rows are (least doc_id first), so the group's least node
 is its answer, and no row is joined by a group's id.
 
@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ from tessella.llm import shingle_sets as S
 from tessella.llm.common import apart, as_bytes, checkpoint, map_text, small_batches, tidy, written
 from tessella.llm.components import components
 
-TILE = 4096
+TILE = 1024
 #: Bits by which sets at a similarity of 0.8 may differ: 10 on average, 20 or more in one of some thousands.
 WIDE = 20
 #: Nodes (some 40 bytes each) up to which a list of them is broadcast.
@@ -150,7 +150,7 @@ def bucket_keys(fp: np.ndarray, radius: int, m: int, bits: int) -> list[np.ndarr
     return out
 
 
-_PAIR = ("bucket", "o1", "s1", "o2", "s2")
+_PAIR = ("bucket", "t1", "t2")
 _OPEN = (*_PAIR, "side", "node", "fp", "group")
 
 
@@ -166,21 +166,22 @@ def tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
     out = shared.where(F.col("_n") <= tile).select("bucket", *[zero.alias(c) for c in _PAIR[1:]], zero.alias("side"), *columns)
     if (size.agg(F.max("_n")).first()[0] or 0) > tile:
         big = shared.where(F.col("_n") > tile).withColumn("_o", F.bit_count("fp").cast("int"))
-        cut = checkpoint(big.groupBy("bucket", "_o").agg(F.ceil(F.count("*") / tile).cast("int").alias("_p")))
-        each = cut.select("bucket", "_o", F.explode(F.sequence(zero, F.col("_p") - 1)).alias("_s"))
-        left, right = each.toDF("bucket", "o1", "s1"), each.toDF("b2", "o2", "s2")
-        reach = (F.col("o2") - F.col("o1")).between(0, radius) & ((F.col("o2") > F.col("o1")) | (F.col("s2") >= F.col("s1")))
-        pairs = checkpoint(left.join(right, (F.col("bucket") == F.col("b2")) & reach).drop("b2"))
-        same = (F.col("o1") == F.col("o2")) & (F.col("s1") == F.col("s2"))
-        name = [apart(c, "long").alias(c) for c in _PAIR[:1]] + [F.col(c) for c in _PAIR[1:]]
-        sides = pairs.select(*name, F.col("o1").alias("o"), F.col("s1").alias("s"), zero.alias("side")).union(
-            pairs.where(~same).select(*name, "o2", "s2", F.lit(1).cast("int"))
+        before = F.sum("_c").over(Window.partitionBy("bucket").orderBy("_o")) - F.col("_c")  # of 65 rows a bucket at most
+        cut = checkpoint(big.groupBy("bucket", "_o").agg(F.count("*").alias("_c")).withColumn("_before", before))
+        number = lambda place: F.floor(place / tile).cast("int")
+        held = F.sequence(number(F.col("_before")), number(F.col("_before") + F.col("_c") - 1))
+        each = cut.select("bucket", "_o", F.explode(held).alias("t")).groupBy("bucket", "t").agg(F.min("_o").alias("low"), F.max("_o").alias("high"))
+        left, right = each.toDF("bucket", "t1", "low1", "high1"), each.toDF("b2", "t2", "low2", "high2")
+        reach = (F.col("t2") >= F.col("t1")) & (F.col("low2") - F.col("high1") <= radius)
+        pairs = checkpoint(left.join(right, (F.col("bucket") == F.col("b2")) & reach).select(apart("bucket").alias("bucket"), "t1", "t2"))
+        sides = pairs.select(*_PAIR, F.col("t1").alias("_t"), zero.alias("side")).union(
+            pairs.where("t1 < t2").select(*_PAIR, "t2", F.lit(1).cast("int"))
         )
-        parts = cut.select(apart("bucket").alias("b"), F.col("_o").alias("o"), "_p")
+        parts = cut.select(apart("bucket").alias("b"), F.col("_o").alias("o"), "_c", "_before")
         placed = big.join(parts, (F.col("bucket") == F.col("b")) & (F.col("_o") == F.col("o"))).select(
-            F.col("bucket").alias("_b"), "_o", F.pmod(F.xxhash64("fp"), F.col("_p")).cast("int").alias("_s"), *columns
+            F.col("bucket").alias("_b"), number(F.col("_before") + F.pmod(F.xxhash64("fp"), F.col("_c"))).alias("_own"), *columns
         )
-        met = placed.join(sides, (F.col("_b") == F.col("bucket")) & (F.col("_o") == F.col("o")) & (F.col("_s") == F.col("s")))
+        met = placed.join(sides, (F.col("_b") == F.col("bucket")) & (F.col("_own") == F.col("_t")))
         out = out.union(met.select(*_PAIR, "side", *columns))
     return out
 
@@ -295,7 +296,7 @@ def _prints(docs: DataFrame, keep: tuple[str, ...], shingle: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes) of the nodes asked for. texts: node and text."""
+    """(node, hashes) of the nodes asked for. texts: id, hash (which the nodes carry too) and text."""
 
     def make() -> Callable[[pa.Array], list]:
         def run(col: pa.Array) -> list:
@@ -305,10 +306,10 @@ def _sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
         return run
 
-    asked = nodes.select(_again("node").alias("w"))
     if nodes.count() <= BROADCAST_NODES:  # else the texts are shuffled to meet them
-        asked = F.broadcast(asked)
-    wanted = texts.join(asked, F.col("node") == F.col("w"), "left_semi")
+        nodes = F.broadcast(nodes)
+    same = texts["id"].eqNullSafe(nodes["id"]) & (texts["hash"] == nodes["hash"])
+    wanted = texts.join(nodes, same).select("node", "text")
     return map_text(wanted.dropDuplicates(["node"]), make, [("hashes", T.ArrayType(T.LongType()))], ["node"])
 
 
@@ -332,7 +333,7 @@ def _open_rows(radius: int, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, groups in whole_groups(batches):
-            fp, size, code = np.asarray(t.column("fp")).view(np.uint64), np.asarray(t.column("n")).astype(np.int64), _codes(t)
+            fp, size, code = np.asarray(t.column("fp")).view(np.uint64), np.asarray(t.column("n")).astype(np.int64), np.asarray(t.column("group"))
             hit = np.zeros(t.num_rows, bool)
             for start, n, left in groups:
                 own = slice(start, start + n)
@@ -349,19 +350,12 @@ def _open_rows(radius: int, similarity: float):
     return run
 
 
-def _codes(t: pa.Table) -> np.ndarray:
-    """Numbers of the distinct values of column group (a struct of null flag, id and hash)."""
-    g = t.column("group").combine_chunks()
-    cols = [np.asarray(g.field(i).cast(pa.int64()).fill_null(0)) for i in range(3)]
-    return np.unique(np.stack(cols), axis=1, return_inverse=True)[1].ravel()
-
-
 def _settled(radius: int, similarity: float):
     """Rows of tiles with fp, node, group and hashes: links that were still missing, confirmed on the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, groups in whole_groups(batches, 1 << 12):
-            fp, code, x, y = np.asarray(t.column("fp")).view(np.uint64), _codes(t), [], []
+            fp, code, x, y = np.asarray(t.column("fp")).view(np.uint64), np.asarray(t.column("group")), [], []
             hashes = t.column("hashes").combine_chunks()
             values, ends = np.asarray(hashes.values).view(np.uint64), np.asarray(hashes.offsets)
             for start, n, left in groups:
@@ -385,22 +379,22 @@ def _settled(radius: int, similarity: float):
 def similar_links(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float, radius: int = WIDE, tile: int = TILE) -> DataFrame:
     """(x, y) pairs of nodes that connect all sets at the similarity that share a band and lie within the radius.
 
-    sets: a row per distinct set: node, fp, n, bands. texts: node and text of (at least) those rows.
+    sets: a row per distinct set: node (long), id and hash (of its row), fp, n, bands. texts: id, hash and text of those rows.
     """
-    kind = sets.schema["node"].dataType
-    pair = T.StructType([T.StructField("x", kind), T.StructField("y", kind)])
+    pair, row = "x long, y long", sets.select("node", "id", "hash")
     dealt = sets.select(F.explode("bands").alias("bucket"), "fp", "n", "node")
     rows = written(tiled(dealt, radius, tile), "tiles")
     first = checkpoint(together(rows).mapInArrow(_forests(radius, similarity), pair).distinct())
-    ends = checkpoint(first.select(F.col("x").alias("node")).union(first.select("y")).distinct())
-    found = checkpoint(_confirmed(first, written(_sets(texts, ends, shingle), "sets"), similarity))
+    ends = first.select(F.col("x").alias("node")).union(first.select("y")).distinct()
+    found = checkpoint(_confirmed(first, written(_sets(texts, checkpoint(row.join(ends, "node", "left_semi")), shingle), "sets"), similarity))
     # what is still apart: pairs of a tile in two groups
-    group = components(found).select(_again("node").alias("g"), F.col("component").alias("c"))
+    group = components(found).select(apart("node").alias("g"), F.col("component").alias("c"))
     placed = rows.join(group, F.col("node") == F.col("g"), "left").withColumn("group", F.coalesce("c", "node")).drop("g", "c")
-    fields = [placed.schema[c] for c in _OPEN]
-    apart_yet = checkpoint(together(placed).mapInArrow(_open_rows(radius, similarity), T.StructType(fields)))
-    more = written(_sets(texts, checkpoint(apart_yet.select("node").distinct()), shingle), "sets")
-    wide = apart_yet.join(more.select(_again("node").alias("m"), "hashes"), F.col("node") == F.col("m")).drop("m")
+    fields = T.StructType([placed.schema[c] for c in _OPEN])
+    apart_yet = checkpoint(together(placed).mapInArrow(_open_rows(radius, similarity), fields))
+    asked = checkpoint(row.join(apart_yet.select("node").distinct(), "node", "left_semi"))
+    more = written(_sets(texts, asked, shingle), "sets")
+    wide = apart_yet.join(more.select(apart("node").alias("m"), "hashes"), F.col("node") == F.col("m")).drop("m")
     return found.union(together(wide).mapInArrow(_settled(radius, similarity), pair))
 
 
@@ -409,10 +403,10 @@ def _order(hash_: Column) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), hash_.alias("hash"))
 
 
-def _again(node: str) -> Column:
-    """The same node as a new expression, for joins that may split a hot key (see common.apart)."""
-    c, zero = F.col(node), F.lit(0).cast("long")
-    return F.struct(c["none"].alias("none"), (c["id"] + zero).alias("id"), (c["hash"] + zero).alias("hash"))
+def _numbered(first: DataFrame) -> DataFrame:
+    """first with node (its order) as a whole number of the same order, and the row's id and hash."""
+    found = checkpoint(first.orderBy("node").withColumn("_at", F.monotonically_increasing_id()))
+    return found.select(F.col("_at").alias("node"), "node.id", "node.hash", *[c for c in first.columns if c != "node"])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
@@ -438,17 +432,17 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int | None = None, simil
     columns, spark = docs.columns, docs.sparkSession
     small_batches(spark)
     marked = docs.withColumn("_text_hash", F.xxhash64(docs["text"]))
-    node = _order(F.col("_text_hash"))
+    node = F.min(_order(F.col("_text_hash"))).alias("node")
     if similarity is None:
         found = checkpoint(fingerprints(marked, ("doc_id", "_text_hash"), shingle))
-        first = checkpoint(found.groupBy("fp").agg(F.min(node).alias("node")))
+        first = _numbered(found.groupBy("fp").agg(node))
         joined = components(links(first, 4 if radius is None else radius, tile))
     else:
         found = written(_prints(marked, ("doc_id", "_text_hash"), shingle), "prints")
-        first = checkpoint(found.groupBy("key").agg(F.min(node).alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")]).drop("key"))
-        texts = marked.select(node.alias("node"), F.col("text"))
+        first = _numbered(found.groupBy("key").agg(node, *[F.first(c).alias(c) for c in ("fp", "n", "bands")]).drop("key"))
+        texts = marked.select(F.col("doc_id").cast("long").alias("id"), F.col("_text_hash").alias("hash"), "text")
         joined = components(similar_links(first, texts, shingle, similarity, WIDE if radius is None else radius, tile))
-    later = joined.where(F.col("node") != F.col("component")).select(_again("node").alias("l"))
-    kept = first.join(later, F.col("node") == F.col("l"), "left_anti").select("node.id", "node.hash")
+    later = joined.where(F.col("node") != F.col("component")).select(F.col("node").alias("l"))
+    kept = first.join(later, F.col("node") == F.col("l"), "left_anti").select("id", "hash")
     same = marked["doc_id"].cast("long").eqNullSafe(kept["id"]) & (marked["_text_hash"] == kept["hash"])
     return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*columns)
