@@ -5,11 +5,13 @@ previous-smaller pointer (the nearest position to the left in a lower group) nam
 extends by the member's; such suffixes leave their group for a higher one of their own, those reached by more
 repetitions of the member's prefix above those reached by fewer. After that the groups hold suffixes of equal
 Lyndon prefix in final order, and one pass from the smallest suffix up emits each group's order: a suffix on the
-pointer chain left of an emitted one is the next of its group. No ranks are renamed and nothing recurses.
+pointer chain left of an emitted one is the next of its group. No ranks are renamed and nothing recurses. All state is in
+arrays of 32 bits, some 30 bytes a symbol.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 
@@ -27,8 +29,8 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     for c in range(top):
         begin[c] = at
         at += count[c]
-    sa, isa, group = [n] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    size, prev = [0] * (n + 1), [n] * (n + 1)
+    sa, isa, group = array("i", [n]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
+    size, prev = array("i", [0]) * (n + 1), array("i", [n]) * (n + 1)
     size[0] = 1
     for c in range(top):
         if count[c]:
@@ -97,7 +99,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     placed = bytearray(n + 1)
     placed[n] = 1
     sa[0] = n
-    fill = list(range(n + 1))
+    fill = array("i", range(n + 1))
     for r in range(n + 1):
         s = sa[r] - 1
         while not placed[s]:
@@ -106,4 +108,4 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             sa[fill[g]] = s
             fill[g] += 1
             s = prev[s]
-    return sa[1:]
+    return sa[1:].tolist()

@@ -7,14 +7,18 @@
    occurs twice repeats whole.
 3. The distinct regions of one anchor go to one suffix array (suffix_array.py) with the shared gram as a single symbol;
    neighbours in it that agree over a whole window repeat. An anchor with over GROUP distinct regions (a very common
-   passage within as many contexts) has its windows counted by digest instead, over all tasks.
+   passage within as many contexts) would be one array in one task that grows with the corpus; its windows are counted by
+   128-bit digests over all tasks instead, with the same result (README gives the share).
 4. The repeated runs return to their documents, where they are merged and cut out.
 
 Texts are shuffled compressed, and only to meet their regions and, in the end, their runs.
 
-Defined results: null text is empty and keeps nothing; texts under `length` bytes keep all; repeated rows are texts of
-their own, so they remove each other; a row is known by a hash of its kept columns and text, equal rows share it;
-kept columns named as a result are replaced.
+A row is known by 96 bits of hashes of its kept columns and text (equal rows share them and have equal results); regions
+and shared strings by 128-bit digests: at 10**10 documents a chance meeting of two is below one in 10**8.
+
+Defined results: null text is empty and keeps nothing; texts under `length` bytes keep all; a very long text is read whole,
+in blocks (up to 2**31 bytes, Spark's own limit); repeated rows are texts of their own, so they remove each other; an empty
+table gives an empty one; kept columns named as a result are replaced, other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import as_bytes, release, slices, small_batches, tidy, written
+from tessella.llm.common import apart, as_bytes, release, slices, small_batches, tidy, written
 from tessella.llm.suffix_array import suffix_array
 
 LENGTH, GRAM, GROUP = 200, 100, 1500
@@ -119,11 +123,9 @@ def _anchor_rows(length: int, gram: int):
                 texts = as_bytes(part.column(1))
                 offsets = np.cumsum([0, *map(len, texts)])
                 h, text, first, left, n = anchors(np.frombuffer(b"".join(texts), np.uint8), offsets, length, gram)
-                keys = np.asarray(part.column(0))[text]
-                at = first << 16 | left << 8 | n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(keys), pa.array(at)], names=["h", "key", "at"]
-                )
+                at = first << 32 | left << 16 | n
+                own = [part.column(i).take(pa.array(text)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *own, pa.array(at)], names=["h", "key", "also", "at"])
         tidy()
 
     return run
@@ -135,44 +137,39 @@ def _compressed(fields: list[str]):
         for batch in batches:
             for part in slices(batch, "text"):
                 z = [pack.compress(b) for b in as_bytes(part.column(1))]
-                rest = [part.column(i) for i in range(2, part.num_columns)]
+                rest = [part.column(i) for i in range(3, part.num_columns)]
                 row = pa.StructArray.from_arrays([pa.array(z, pa.binary()), *rest], names=["z", *fields])
-                yield pa.RecordBatch.from_arrays([part.column(0), row], names=["key", "row"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), row], names=["key", "also", "row"])
         tidy()
 
     return run
 
 
 def _regions(length: int, gram: int):
-    """Rows (key, row, at: list of packed runs): one row per region, with its digests and its bytes but the gram."""
+    """Rows (key, also, row, at: list of packed runs): one row per region, with its digests and its bytes but the gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_64_intdigest
-        names = ["key", "gram", "region", "first", "left", "rest"]
+        unpack, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            made = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[1:3]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), *made, pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())],
-                names=names,
-            )
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "also", "gram", "region", "first", "left", "rest"])
 
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
-            z = batch.column(1).field(0)
-            for i, key in enumerate(batch.column(0).to_pylist()):
+            z = batch.column(2).field(0)
+            for i, (key, also) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 text = unpack.decompress(z[i].as_py())
-                for at in batch.column(2)[i].as_py():
-                    first, left, n = at >> 16, at >> 8 & 255, at & 255
+                for at in batch.column(3)[i].as_py():
+                    first, left, n = at >> 32, at >> 16 & 0xFFFF, at & 0xFFFF
                     region = text[first : first + n + length - 1]
                     shared = region[left : left + gram]
-                    rows.append((key, digest(shared), digest(region, left), first, left, region[:left] + region[left + gram :]))
-                if len(rows) >= 20_000:
-                    yield emit(rows)
-                    rows = []
-            if rows:
-                yield emit(rows)
+                    rows.append((key, also, digest(shared), digest(region, left), first, left, region[:left] + region[left + gram :]))
+                    if len(rows) >= 20_000:
+                        yield emit(rows)
+                        rows = []
+        yield emit(rows)
         tidy()
 
     return run
@@ -226,7 +223,7 @@ def _grouped(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(out: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [[]] * 3
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            kinds = (pa.binary(), pa.binary(), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["gram", "region", "runs"])
 
         group: list[tuple] = []
@@ -246,21 +243,27 @@ def _grouped(length: int, gram: int):
 
 
 def _window_rows(length: int, gram: int):
-    """Rows (gram, region, n, left, rest) of a very large group: a digest for each window."""
+    """Rows (gram, region, n, left, rest) of a very large group: a digest for each window, which covers the gram too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = length - gram
+        width, one = length - gram, xxhash.xxh3_128_digest
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64())
+
+        def emit(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "region", "w", "n"])
+
         for batch in batches:
             out: list[tuple] = []
             for g, region, n, left, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for w in range(len(rest) - width + 1):
-                    # the window's bytes but the gram, and where the gram stands
-                    out.append((g, region, w, xxhash.xxh3_128_digest(rest[w : w + width], left - w), n))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["gram", "region", "w", "digest", "n"]
-            )
+                    # the gram's digest, the window's other bytes, and where the gram stands among them
+                    out.append((one(g + rest[w : w + width], left - w), region, w, n))
+                if len(out) >= 20_000:
+                    yield emit(out)
+                    out = []
+            yield emit(out)
+        tidy()
 
     return run
 
@@ -277,22 +280,23 @@ def merge_spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 
 def _repeated_regions(source: DataFrame, packed: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(key, gram, region, first) of the regions whose anchor repeats, and (gram, region, runs of repeated windows).
+    """(key, also, region, first) of the regions whose anchor repeats, and (region, runs of repeated windows). A region is known by its
+    digest, which covers its gram and where that stands.
 
     Each step is a written table, so nothing is computed twice and shuffles of done steps can go. Counts by a key are
     tables of their own before they are joined back: the other side's partition of a hot key can then be split.
     """
     spark = source.sparkSession
     small_batches(spark)
-    found = written(source.select("key", "text").mapInArrow(_anchor_rows(length, gram), "h long, key long, at long"), "anchors")
+    found = written(source.select("key", "text", "also").mapInArrow(_anchor_rows(length, gram), "h long, key long, also int, at long"), "anchors")
     twice = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-repeated")
     sought = written(
-        found.join(twice, "h", "left_semi").groupBy(F.col("key").alias("k")).agg(F.collect_set("at").alias("at")), "anchors-sought"
+        found.join(twice, "h", "left_semi").groupBy(F.col("key").alias("k"), F.col("also").alias("k2")).agg(F.collect_set("at").alias("at")), "anchors-sought"
     )
     release(spark)
     regions = written(
-        packed.join(sought, packed["key"] == sought["k"]).select("key", "row", "at")
-        .mapInArrow(_regions(length, gram), "key long, gram long, region long, first long, left int, rest binary"), "regions",
+        packed.join(sought, (packed["key"] == sought["k"]) & (packed["also"] == sought["k2"])).select("key", "also", "row", "at")
+        .mapInArrow(_regions(length, gram), "key long, also int, gram binary, region binary, first long, left int, rest binary"), "regions",
     )
     release(spark)
     distinct = written(
@@ -310,17 +314,14 @@ def _repeated_regions(source: DataFrame, packed: DataFrame, length: int, gram: i
     )
     some = (
         judged.where(f"once > 0 and d <= {group}").select(*cols).repartition("gram").sortWithinPartitions("gram")
-        .mapInArrow(_grouped(length, gram), "gram long, region long, runs array<int>")
-    )
-    windows = judged.where(f"once > 0 and d > {group}").select(*cols).mapInArrow(
-        _window_rows(length, gram), "gram long, region long, w int, digest binary, n long"
+        .mapInArrow(_grouped(length, gram), "gram binary, region binary, runs array<int>")
     )
-    common = written(windows.groupBy("gram", "digest").agg(F.sum("n").alias("n")).where("n > 1").select("gram", "digest"), "windows-repeated")
-    many = (
-        windows.select("gram", "digest", "region", "w").join(common, ["gram", "digest"])
-        .select("gram", "region", F.array("w", "w").alias("runs"))
+    windows = written(
+        judged.where(f"once > 0 and d > {group}").select(*cols).mapInArrow(_window_rows(length, gram), "digest binary, region binary, w int, n long"), "windows"
     )
-    runs = written(whole.union(some).union(many), "runs")
+    common = windows.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select(apart("digest", "binary").alias("d"))
+    many = windows.join(common, F.col("digest") == F.col("d"), "left_semi").select("region", F.array("w", "w").alias("runs"))
+    runs = written(whole.select("region", "runs").union(some.select("region", "runs")).union(many), "runs")
     release(spark)
     return regions, runs
 
@@ -332,26 +333,29 @@ def remove_repeats(
 
     A span may begin or end inside a character; as_text() drops what is left of one.
     """
+    if not 1 <= gram < length or length - gram >= 1 << 16:
+        raise ValueError("length and gram: 1 <= gram < length, and less than 65536 apart")
     keep = tuple(c for c in keep if c not in ("kept", "n_bytes", "spans"))
+    row = [*[docs[c] for c in keep], docs[text]]
     source = docs.select(
-        F.xxhash64(*[docs[c] for c in keep], docs[text]).alias("key"), docs[text].cast("string").alias("text"),
+        F.xxhash64(*row).alias("key"), docs[text].cast("string").alias("text"), F.shiftright(F.xxhash64(F.lit(1), *row), 32).cast("int").alias("also"),
         *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)],
     )
     kinds = [T.StructField("z", T.BinaryType())] + [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     packed = source.mapInArrow(
         _compressed([f"c{i}" for i in range(len(keep))]),
-        T.StructType([T.StructField("key", T.LongType()), T.StructField("row", T.StructType(kinds))]),
+        T.StructType([T.StructField("key", T.LongType()), T.StructField("also", T.IntegerType()), T.StructField("row", T.StructType(kinds))]),
     )
     regions, runs = _repeated_regions(source, packed, length, gram, group)
-    places = regions.select("key", "gram", "region", "first").join(runs, ["gram", "region"])
+    places = regions.select("key", "also", "region", "first").join(runs, "region")
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)),
         lambda i: F.struct(
             (F.col("first") + F.element_at("runs", i + 1)).alias("first"), (F.col("first") + F.element_at("runs", i + 2)).alias("last")
         ),
     )
-    per_doc = places.select("key", F.explode(pairs).alias("run")).groupBy("key").agg(F.collect_set("run").alias("runs"))
-    per_doc = per_doc.select(F.col("key").alias("k"), "runs")
+    per_doc = places.select("key", "also", F.explode(pairs).alias("run")).groupBy("key", "also").agg(F.collect_set("run").alias("runs"))
+    per_doc = per_doc.select(F.col("key").alias("k"), F.col("also").alias("k2"), "runs")
 
     schema = T.StructType(
         [T.StructField(c, docs.schema[c].dataType) for c in keep]
@@ -382,7 +386,7 @@ def remove_repeats(
         tidy()
 
     return (
-        packed.join(per_doc, packed["key"] == per_doc["k"], "left").select("row", "runs").mapInArrow(cut, schema)
+        packed.join(per_doc, (packed["key"] == per_doc["k"]) & (packed["also"] == per_doc["k2"]), "left").select("row", "runs").mapInArrow(cut, schema)
     )
 
 

@@ -64,6 +64,23 @@ def test_repeats_are_removed(spark, group):
     )
 
 
+@pytest.mark.parametrize(("length", "gram"), [(400, 100), (300, 10), (50, 49), (20, 1)])
+def test_repeats_of_other_lengths(spark, length, gram):
+    rows = passages()
+    rows += [(900, rows[0][1] * 3, None, None, 0), (901, "x" * 1000, None, None, 0)]
+    found = suffix_dedup.digests(suffix_dedup.remove_repeats(frame(spark, rows), ("doc_id",), length=length, gram=gram)).collect()
+    want = brute_removal([(r[1] or "").encode() for r in rows], length)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == sorted(
+        (r[0] or 0, *w) for r, w in zip(rows, want, strict=True)
+    )
+
+
+@pytest.mark.parametrize(("length", "gram"), [(100, 100), (100, 0), (70_000, 10)])
+def test_lengths_that_cannot_be(spark, length, gram):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(frame(spark, []), length=length, gram=gram)
+
+
 def test_repeats_text_and_empty(spark):
     rows = passages()
     out = suffix_dedup.as_text(suffix_dedup.remove_repeats(frame(spark, rows), ("doc_id", "lang"))).collect()
