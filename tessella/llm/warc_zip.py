@@ -8,9 +8,10 @@ member, then each record's own range. Nothing is extracted.
 A task writes its archives under names of its own and reports them in rows that are checkpointed, so only archives of
 tasks that succeeded are read; archives go to the folder that driver and executors share.
 
-Defined results: null html is an empty payload; payloads under `min_revisit` bytes never revisit; of equal longer
-payloads the smallest page_id is the response, a repeated page_id gives a row each time and revisits itself but once;
-a null page_id orders after all others.
+Defined results: null html is an empty payload; payloads under `min_revisit` bytes never revisit; of equal longer payloads
+the smallest page_id is the response and the others revisit it, a null page_id (no candidate itself) among them; rows
+that repeat the smallest page_id with that payload are all responses; every row of the table gives a row; a very long page
+is one record; an empty table gives no archive and no row; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import apart, checkpoint, filesystem, new_folder, slices
+from tessella.llm.common import apart, checkpoint, filesystem, new_folder, slices, small_batches
 
-ARCHIVE_BYTES = 64 << 20
+#: An archive closes beyond this; a task holds one archive's compressed records.
+ARCHIVE_BYTES = 16 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 _LOCAL, _CENTRAL, _END, _END64, _AT64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 _32 = 0xFFFFFFFF
@@ -234,13 +236,15 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         if index:
             yield close()
 
+    small_batches(records.sparkSession)
     return checkpoint(records.select("page_id", "url", "payload", "digest", "least").mapInArrow(run, "path string, size long, n long"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row for each record of the archives: page_id, url, record_type, refers_to, digest named, and the payload (null: revisit).
 
-    Records are located by the index members, then range-read one by one.
+    Records are located by the index members, then range-read one by one. The archives are dealt by number, one to a task:
+    a list of them is small whatever they hold, so partitions must not be merged by its size. archives: checkpointed.
     """
     schema = "page_id long, url string, record_type string, refers_to long, named_digest string, payload binary"
 
@@ -271,7 +275,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     if rows:
                         yield emit(rows)
 
-    return archives.select("path", "size").repartition(F.col("path")).mapInArrow(run, schema)
+    return archives.select("path", "size").repartition(max(1, archives.count())).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, min_revisit: int = 100) -> DataFrame:
