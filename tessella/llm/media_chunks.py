@@ -8,7 +8,8 @@ The reader range-reads the chunks, checks each digest and the whole file's, and
 
 Only packs named by checkpointed rows are read, so a lost or repeated task leaves nothing but unused files.
 
-Defined results: null text is empty: 192 spaces; equal texts give equal values; repeated rows each give a row.
+Defined results: null text is empty: 192 spaces; equal texts give equal values; repeated rows each give a row; a very long
+text is one file of many chunks; an empty table gives an empty one; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import apart, as_bytes, checkpoint, filesystem, new_folder, slices
+from tessella.llm.common import apart, as_bytes, checkpoint, filesystem, new_folder, slices, small_batches
 
 UNIT, RATE = 192, 8000
 LEAST, MOST, BITS = 512, 16_384, 11
 PACK_BYTES = 64 << 20
 #: Open pack files a reader keeps.
 OPEN_PACKS = 32
+#: Media that one task rebuilds.
+TASK_BYTES = 32 << 20
 
 
 def gear_table(seed: int = 0x5EED) -> np.ndarray:
@@ -168,6 +171,7 @@ def store(docs: DataFrame, folder: str, keep: tuple[str, ...] = ("doc_id",), pac
                 out.close()
 
     source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].cast("string").alias("t"))
+    small_batches(docs.sparkSession)
     return checkpoint(source.mapInArrow(run, schema))
 
 
@@ -192,6 +196,9 @@ def rebuild(stored: DataFrame, folder: str, keep: tuple[str, ...] = ("doc_id",),
     fields += [("media", T.BinaryType())] * media
     schema = T.StructType([T.StructField(c, stored.schema[f"k{i}"].dataType) for i, c in enumerate(keep)] + [T.StructField(*f) for f in fields])
     rows = stored.drop("chunks").join(recipes(stored), "row").select(*[f"k{i}" for i in range(len(keep))], "n_bytes", "media", "recipe")
+    # recipes are small whatever they stand for, so tasks are counted by the media and dealt by number
+    total = stored.agg(F.sum("n_bytes")).first()[0] or 0
+    rows = rows.repartition(int(total // TASK_BYTES) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
