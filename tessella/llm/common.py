@@ -57,6 +57,8 @@ def tidy() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Ask for BATCH_ROWS rows in an Arrow batch, in a session that left the number at Spark's default (a setting of the session,
+    so it stays). Spark also ends a batch at spark.sql.execution.arrow.maxBytesPerBatch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
@@ -119,11 +121,17 @@ def as_text(col: pa.Array) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all runs on one machine (tests) may it be
+    unset: then a temporary folder is made."""
     set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
-        set_ = now.get() if now.isDefined() else f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+        if now.isDefined():
+            set_ = now.get()
+        elif spark.sparkContext.master.startswith("local["):
+            set_ = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(set_)
     return set_
@@ -156,8 +164,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A name in the shared folder that no one else uses."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete what this driver's operators have written to the shared folder so far, and say how many folders.
+
+    Results read those tables lazily, so this is for the caller, who knows that a result is stored.
+    """
+    jvm, deleted = spark.sparkContext._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        deleted += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return deleted
 
 
 def filesystem(uri: str):
@@ -175,26 +200,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes beyond which a labelled text is left out of a sample, so that a sample is 2 * max_per_class times this at most.
+SAMPLE_TEXT_BYTES = 1 << 17
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_per_class: int
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_per_class: int, max_bytes: int = SAMPLE_TEXT_BYTES
 ) -> list[tuple[str, int]]:
     """Up to `max_per_class` whole texts a class whose crc32(doc_id) leaves another remainder than `held_out`.
 
-    Rows are taken in the order of a hash of doc_id, so the sample is the same on each run.
+    Bound: one text of at most `max_bytes` bytes for each of 2 * max_per_class documents is joined and collected, however
+    often a doc_id or a label is repeated. Documents are taken in the order of a hash of doc_id and a repeated one by
+    the least hash of its texts, so the sample is the same on each run. Of contrary labels of a document the larger counts.
     """
-    ids = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
+    ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out)
     order = F.xxhash64("doc_id")
-    # the bound caps what is joined and collected: 2 * max_per_class rows
     ids = ids.where("y = 1").orderBy(order, "doc_id").limit(max_per_class).union(
         ids.where("y = 0").orderBy(order, "doc_id").limit(max_per_class)
     )
-    rows = (
-        docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        .join(F.broadcast(ids), "doc_id")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    met = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id")
+    rows = met.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "y", "t.text").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["y"]))
     return [(r["text"], r["y"]) for r in rows]
 
 

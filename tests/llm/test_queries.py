@@ -130,3 +130,23 @@ def test_stages_on_odd_tables(spark):
             assert n <= len(rows) or name == "packing"
             if name == "repeated_passages":
                 assert n == table.count()
+
+
+def test_sample_is_bounded(spark):
+    """One document id on all rows, and long texts, give no more than one bounded text."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.union(spark.range(3).select(F.col("id") + 100, F.repeat(F.lit("x"), 200_000)))
+    labels = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(1).alias("toxic"))
+    labels = labels.union(spark.range(3).select(F.col("id") + 100, F.lit(0)))
+    for _ in range(2):
+        got = labelled_sample(docs, labels, "toxic", 4, 9, 5)
+        assert len(got) == 1 and got[0][1] == 1 and got[0][0].startswith("text ")
+
+
+def test_folders_are_forgotten(spark):
+    from tessella.llm import common
+
+    df = common.written(spark.range(3), "three")
+    assert df.count() == 3 and common.forget(spark) >= 1 and not common._made
