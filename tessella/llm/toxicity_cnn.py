@@ -4,15 +4,18 @@ Words (lower case, letters, digits and bytes above 127) are hashed to 2**BITS bu
 many; buckets that enough texts of the sample hold have an embedding each, all others share one. A word is embedded as the
 sum of both. Filters of several widths slide over whole documents, each filter keeps its maximum, and a softmax layer reads the maxima. Training is Adagrad on mini-batches;
 only the places of the maxima carry gradient, so an update touches few embeddings. Thresholds are then calibrated on texts
-held back from training, one for each language with enough of them; the language is guessed from the text's own
-function words. A score is moved along its logit so that each language's threshold stands at THRESHOLD.
+held back from training, one for each language, drawn towards that of all texts the fewer texts of the rarer class the
+language has; the language is guessed from the text's own function words, and texts without any are one more language.
+A score is moved along its logit so that each language's threshold stands at THRESHOLD.
 
 For scoring, embeddings times filters are folded into a table per width and offset: a window is a sum of looked-up rows.
 
-Bound of the sample it learns from: `max_per_class` labelled texts of each class, in the order of a hash of doc_id.
+Bound of the sample it learns from: MAX_PER_CLASS labelled texts of each class, in the order of a hash of doc_id, one text
+of up to common.SAMPLE_TEXT_BYTES a document.
 
-Defined results: null or empty text is scored as one blank word; repeated rows each give a row; without labels of both
-classes every score is the constant 0; columns that share a result's name are replaced.
+Defined results: null or empty text is scored as one blank word; a very long text is scored whole; repeated rows each give
+a row, and a doc_id repeated in `documents` or `labels` counts once in the sample; an empty table gives an empty one;
+without labels of both classes every score is the constant 0; columns that share a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +39,9 @@ LEAST_STEPS = 250
 SCORE_BYTES = 1 << 19
 #: Embedding rows: no word, and words without a row of their own.
 NONE, RARE = 0, 1
-THRESHOLD, MAX_PER_CLASS, LEAST_FOR_LANGUAGE = 0.3, 1500, 25
+THRESHOLD, MAX_PER_CLASS = 0.3, 1500
+#: Texts of the rarer class that a language's own threshold weighs as much as the common one.
+SHRINK = 10
 FUNCTION_WORDS = {
     "en": "the of and to in is that it was for on with as by from are this be at or an not have which",
     "de": "der die und das ist den von zu mit sich des auf für nicht ein eine dem im auch als es wird",
@@ -263,8 +268,9 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, batch: int = 32, rate:
     net.cut[:] = best_cut(z[check], y[check])
     for k in range(len(net.cut)):
         own = check[lang[check] == k]
-        if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= LEAST_FOR_LANGUAGE:
-            net.cut[k] = best_cut(z[own], y[own])
+        n = int(min((y[own] == 1).sum(), (y[own] == 0).sum()))
+        if n:
+            net.cut[k] += (best_cut(z[own], y[own]) - net.cut[k]) * n / (n + SHRINK)
     return net
 
 
