@@ -2,11 +2,13 @@
 
 Words are runs of anything but ASCII white space. A line with a word fails if it is
  - mostly marks (punctuation rule): over `max_marks` percent of its word bytes are one of ``#*$%&|<>!~=_^``;
+ - without an end (punctuation rule): fewer than `end_words` words, the last of which doesn't end in one of ENDS;
  - a menu (navigation rule): two separators ``|`` or more that stand as words, with four or fewer words to each part;
  - boilerplate: at most `boilerplate_words` words and one of BOILERPLATE in it, or equal to an earlier line.
 
-Defined results: null or empty text has no words and is rejected by the base rule; repeated rows each give a row;
-columns of the input that share a name with a result are replaced.
+Defined results: null or empty text has no words and is rejected by the base rule; a very long text is read whole;
+repeated rows each give a row; an empty table gives an empty one; columns of the input that share a name with a result
+are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +26,15 @@ from tessella.llm.common import as_bytes, map_text
 
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"#*$%&|<>!~=_^"
+#: What a sentence or its quotation may end in, in several scripts.
+ENDS = tuple(".!?…:;\"')]»”’。！？：；」』।؟۔")
+#: Phrases of lines that are not the document's own: English, German, French, Spanish.
 BOILERPLATE = (
     "all rights reserved", "released under the", "licensed under", "spdx-license-identifier", "copyright (c)",
     "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "sign up for our newsletter",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "activer javascript",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "activar javascript",
 )
 
 
@@ -35,6 +43,7 @@ class QualityRules:
     min_words: int = 50
     max_repeat_pct: int = 50
     max_marks: int = 15
+    end_words: int = 10
     boilerplate_words: int = 20
     max_lost_pct: int = 50
 
@@ -76,9 +85,13 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def evaluator(rules: QualityRules) -> Callable[[bytes], tuple]:
+    """The columns FIELDS of a text, and after them the lines it keeps (those without a word among them)."""
     boiler = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+    ends = tuple(e.encode() for e in ENDS)
 
     def line_fails(line: bytes, words: list[bytes], size: int) -> bool:
+        if len(words) < rules.end_words and not words[-1].endswith(ends):
+            return True
         marks = len(line) - len(line.translate(None, MARKS))
         if marks:
             if 100 * marks > rules.max_marks * size:
@@ -86,16 +99,20 @@ def evaluator(rules: QualityRules) -> Callable[[bytes], tuple]:
             bars = words.count(b"|")
             if bars >= 2 and len(words) - bars <= 4 * (bars + 1):
                 return True
-        return len(words) <= rules.boilerplate_words and boiler.search(line.lower()) is not None
+        if len(words) > rules.boilerplate_words:
+            return False
+        return boiler.search(line.lower() if line.isascii() else line.decode().lower().encode()) is not None
 
     def run(text: bytes) -> tuple:
         words = text.split()
         total = sum(map(len, words))
         seen: set[bytes] = set()
         dup = failed = lost = 0
+        rest: list[bytes] = []
         for line in text.split(b"\n"):
             own = line.split()
             if not own:
+                rest.append(line)
                 continue
             size = sum(map(len, own))
             if line in seen:
@@ -107,46 +124,47 @@ def evaluator(rules: QualityRules) -> Callable[[bytes], tuple]:
             if bad:
                 failed += 1
                 lost += size
+            else:
+                rest.append(line)
         symbols = len(text) - len(text.translate(None, SYMBOLS))
         again = repeat_words(words)
         base = len(words) < rules.min_words or 100 * again > rules.max_repeat_pct * len(words)
         kept = not base and 100 * lost <= rules.max_lost_pct * total
-        return len(words), len(text) - total, symbols, dup, again, failed, lost, base, kept
+        return len(words), len(text) - total, symbols, dup, again, failed, lost, base, kept, rest
 
     return run
 
 
 def clean_text(text: str, rules: QualityRules | None = None) -> str:
     """The lines that pass, as the operator judges them."""
-    rules = rules or QualityRules()
-    one, out, seen = evaluator(rules), [], set()
-    for line in text.split("\n"):
-        if line.split():
-            if line in seen or one(line.encode())[5]:
-                continue
-            seen.add(line)
-        out.append(line)
-    return "\n".join(out)
+    return b"\n".join(evaluator(rules or QualityRules())(text.encode())[-1]).decode()
 
 
-def evaluate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: QualityRules | None = None) -> DataFrame:
-    """The counts and the verdict of each document beside its `keep` columns."""
+def evaluate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: QualityRules | None = None, cleaned: str | None = None) -> DataFrame:
+    """The counts and the verdict of each document beside its `keep` columns; with `cleaned`, a column of that name holds the
+    lines that pass (null where the document is rejected)."""
     rules = rules or QualityRules()
 
     def make() -> Callable[[pa.Array], list]:
         one = evaluator(rules)
 
         def run(col: pa.Array) -> list:
-            rows = [one(b) for b in as_bytes(col)]
-            cols = list(zip(*rows, strict=True))
-            out = [pa.array(c) for c in cols]
+            cols: list[list] = [[] for _ in FIELDS]
+            texts: list[str | None] = []
+            for b in as_bytes(col):
+                *found, rest = one(b)
+                for to, x in zip(cols, found, strict=True):
+                    to.append(x)
+                if cleaned:
+                    texts.append(b"\n".join(rest).decode() if found[-1] else None)
+            out = [pa.array(c, pa.bool_() if t == T.BooleanType() else pa.int64()) for c, (_, t) in zip(cols, FIELDS, strict=True)]
             points = pc.cast(pc.fill_null(pc.utf8_length(col), 0), pa.int64())
             out[1] = pc.subtract(points, out[1])  # code points less white space
-            return out
+            return [*out, pa.array(texts, pa.string())] if cleaned else out
 
         return run
 
-    return map_text(docs, make, FIELDS, list(keep))
+    return map_text(docs, make, FIELDS + [(cleaned, T.StringType())] * bool(cleaned), list(keep))
 
 
 #: DuckDB SQL over `documents` for the same rows.
@@ -160,9 +178,9 @@ l2 AS (SELECT rid, ln, line, lw, len(lw) AS lnw, strlen(array_to_string(lw, ''))
               len(list_filter(lw, lambda x: x = '|')) AS bars,
               row_number() OVER (PARTITION BY rid, line ORDER BY ln) > 1 AS dup
        FROM l1 WHERE len(lw) > 0),
-l3 AS (SELECT *, dup OR 100 * marks > 15 * size OR (bars >= 2 AND lnw - bars <= 4 * (bars + 1))
+l3 AS (SELECT *, dup OR (lnw < 10 AND NOT regexp_matches(lw[-1], '[.!?…:;"'')\]»”’。！？：；」』।؟۔]$')) OR 100 * marks > 15 * size OR (bars >= 2 AND lnw - bars <= 4 * (bars + 1))
               OR (lnw <= 20 AND regexp_matches(lower(line),
-   'all rights reserved|released under the|licensed under|spdx-license-identifier|copyright \(c\)|cookie policy|privacy policy|terms of use|terms of service|enable javascript|sign up for our newsletter')) AS bad
+   'all rights reserved|released under the|licensed under|spdx-license-identifier|copyright \(c\)|cookie policy|privacy policy|terms of use|terms of service|enable javascript|sign up for our newsletter|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|javascript aktivieren|newsletter abonnieren|tous droits réservés|politique de confidentialité|mentions légales|conditions d''utilisation|activer javascript|todos los derechos reservados|política de privacidad|aviso legal|términos de uso|activar javascript')) AS bad
        FROM l2),
 lines AS (SELECT rid, sum(CASE WHEN dup THEN 1 ELSE 0 END) AS n_dup_lines, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS n_failed_lines,
                  sum(CASE WHEN bad THEN size ELSE 0 END) AS lost_bytes FROM l3 GROUP BY rid),

@@ -94,8 +94,8 @@ def test_op7_and_op8(spark):
 def brute_pipeline(spark, sf):
     """The documents' texts as they should stand before packing, by doc_id."""
     judge = quality_rules.evaluator(quality_rules.QualityRules())
-    docs = {i: x for i, x in texts(spark, sf).items() if judge(x.encode())[-1]}
-    rows = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id in (%s)" % ",".join(map(str, docs)))
+    docs = {i: quality_rules.clean_text(x) for i, x in texts(spark, sf).items() if judge(x.encode())[8]}
+    rows = spark.createDataFrame([(i, x) for i, x in docs.items()], "doc_id long, text string")
     net = toxicity_cnn.train(labelled_sample(rows, spark.read.parquet(f"{sf}/labels.parquet"), "toxic", 4, 2, toxicity_cnn.MAX_PER_CLASS))
     run = net.scorer()
     docs = {i: x for i, x in docs.items() if run([x.encode()])[0] < 0.3}
@@ -165,3 +165,14 @@ def test_folders_are_forgotten(spark):
 
     df = common.written(spark.range(3), "three")
     assert df.count() == 3 and common.forget(spark) >= 1 and not common._made
+
+
+def test_quality_stage_removes_failing_lines(spark):
+    import corpus_pipeline
+
+    good = [" ".join(f"word{i}x{j}" for j in range(15)) + "." for i in range(8)]
+    lines = [good[0], "Home | News | About", *good[1:4], "Tous droits réservés.", "no end", good[1], "", *good[4:]]
+    rows = [(1, "\n".join(lines), "en", "s", 5), (2, "\n".join(good), "en", "s", 5), (3, "too short.", "en", "s", 5), (4, None, None, None, None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality(spark, frame(spark, rows, ("kept",)), SF).collect()}
+    clean = "\n".join([good[0], *good[1:4], "", *good[4:]])
+    assert got == {1: (clean, len(clean)), 2: (rows[1][1], len(rows[1][1]))}
