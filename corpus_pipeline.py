@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
 All but the last return the columns of `documents`.
+
+Defined results: null and empty texts are rejected by the quality rules, so no later stage meets them in run(); each stage
+also takes them on its own, as its operator's docstring says, and so very long texts, repeated rows and empty tables. Rows
+equal in doc_id and text become one in near_duplicates. Further columns of a table go through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ def _own_names(stage: Callable) -> Callable:
 
 @_own_names
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.evaluate(docs, tuple(docs.columns)).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep, less the lines that fail; n_chars follows the text."""
+    found = quality_rules.evaluate(docs, tuple(docs.columns), cleaned="cleaned").where("kept")
+    return found.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 @_own_names
