@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessella.llm import bpe, packing, quality_rules, simhash, subword_classifier, toxicity_cnn, unigram_count
-from tests.llm.data import awkward, frame
+from tests.llm.data import SF, awkward, frame
 
 TEXT = st.text(alphabet=st.one_of(st.sampled_from(" \n\tabAB'sré.,1Σß|#"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
@@ -140,6 +140,44 @@ def test_unigram_ties(vocab, text):
         assert c.solve(text) == best[-1][::-1]
 
 
+def test_unigram_whole_documents(spark, path, unigram):
+    """Counts and scores of whole texts are those of the library's segmentation."""
+    theirs, table = unigram[0], dict(unigram_count.vocabulary(path("piece_bpe_32k.model")))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 20000")
+    found = {r.doc_id: (r.n_tokens, r.best_score) for r in unigram_count.count_tokens(docs, path("piece_bpe_32k.model")).collect()}
+    low = min(table.values()) - unigram_count.UNKNOWN_PENALTY
+    for r in docs.collect():
+        got = theirs.encode("▁" + r.text.replace(" ", "▁"), add_special_tokens=False)
+        known = [table.get(t) for t in got.tokens]
+        missing = len({i for i, (k, o) in enumerate(zip(known, got.offsets, strict=True)) if k is None and (i == 0 or got.offsets[i - 1] != o)})
+        assert found[r.doc_id] == (len(got.ids), sum(k for k in known if k is not None) + missing * low)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=4), st.floats(-9, -0.5), min_size=1, max_size=12), st.text("abc", max_size=14))
+def test_unigram_log_probabilities(vocab, text):
+    """Scores that are no whole numbers are kept: the best of all segmentations."""
+    c = unigram_count.Counter(sorted(vocab.items()))
+    best = [(0.0, 0)] + [None] * len(text)
+    for e in range(1, len(text) + 1):
+        for s in range(e):
+            t = text[s:e]
+            score = vocab.get(t, c.unknown if len(t) == 1 else None)
+            if score is not None and (best[e] is None or best[s][0] + score > best[e][0] + 1e-9):
+                best[e] = (best[s][0] + score, best[s][1] + 1)
+    assert not text or abs(c.solve(text)[1] - best[-1][0]) < 1e-6
+
+
+def test_unigram_long_text_is_small(path, unigram):
+    import tracemalloc
+
+    text = "abcdefghij" * 50_000
+    tracemalloc.start()
+    n, _ = unigram[1](text)
+    assert n > 50_000 and tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
 def test_unigram_query(spark, path, unigram):
     rows = awkward()
     found = unigram_count.count_tokens(frame(spark, rows, ("best_score",)), path("piece_bpe_32k.model")).collect()
