@@ -4,7 +4,9 @@ The distinct new words of a batch lie in one flat symbol array. A round looks up
 sorted pair keys (binary search), takes each word's lowest rank, and merges its occurrences from the left; words
 without a known pair are done. Word results are kept in a bounded table per task, so a frequent word merges once.
 
-Defined results: null text is empty; an empty text has no ids and decodes to ""; repeated rows each give a row.
+Defined results: null text is empty; an empty text has no ids and decodes to ""; a very long text is encoded whole (its
+words are distinct symbols' runs, so room grows with the text, not with its merges); repeated rows each give a row; an
+empty table gives an empty one; columns that share a result's name are replaced, others are not read.
 """
 
 from __future__ import annotations

@@ -35,6 +35,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+#: Edges of a partition of a round's table, and its partitions at least: a small forest needn't be dealt to every task.
+PART_ROWS, PARTS = 20_000, 8
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
@@ -44,9 +48,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     x, y = edges.columns
     e = edges.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     e = checkpoint(e.distinct())
-    mark = None
+    rows, mark = e.count(), None
     for _ in range(max_rounds):
-        e = checkpoint(_star(_star(e, True), False))
+        # edges never multiply, so the first count bounds all rounds'
+        e = checkpoint(_star(_star(e, True), False).coalesce(max(PARTS, rows // PART_ROWS)))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

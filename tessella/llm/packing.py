@@ -3,6 +3,9 @@
 Each input partition packs its own pieces, so nothing is shuffled and no key can be hot. The open
 windows' remaining capacities index a segment tree; a piece goes to the tightest window that holds it.
 
+So padding depends on how the table is split: a partition leaves some windows partly filled, each ROUND pieces of it
+again. Of whole tables the share of padding is in the README.
+
 Defined results: null or empty text is the end id alone (one piece of one token); repeated rows are packed
 one by one; equal lengths keep their row order; an empty table gives no rows; extra columns are not read.
 """

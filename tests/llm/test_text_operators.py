@@ -364,3 +364,11 @@ def test_keep_one(spark):
     ids = [r.doc_id for r in kept]
     assert 1 in ids and 2 not in ids and ids.count(10) == 1
     assert set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_empty_tables(spark, path):
+    none = frame(spark, [], ("n_tokens", "score"))
+    assert not unigram_count.count_tokens(none, path("piece_bpe_32k.model")).collect()
+    assert not bpe.round_trip(none, path("word_bpe_49k.json")).collect()
+    assert not subword_classifier.score(none, subword_classifier.train([])).collect()
+    assert not toxicity_cnn.score(none, toxicity_cnn.train([])).collect()
