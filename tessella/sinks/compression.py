@@ -31,3 +31,13 @@ def gzipped(column: str, mode: str = "gzip", level: int = 6) -> Column:
         return s.map(lambda b: None if b is None else b if b[:2] == b"\x1f\x8b" else compress(bytes(b), mode, level))
 
     return run(column)
+
+
+def plain(column: str) -> Column:
+    """The bytes before compression, told by their first bytes."""
+
+    @pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else decompress(bytes(b)))
+
+    return run(column)

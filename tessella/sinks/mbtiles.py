@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import shutil
 import sqlite3
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessella.sinks.compression import decompress
+from tessella.storage import local_path, on_disk, open_output
+
+#: Rows of the file that a task reads.
+ROWS = 4096
 
 
 def flip(z: int, y: int) -> int:
@@ -20,6 +27,7 @@ def create(path: str, merge: bool = False) -> sqlite3.Connection:
     if os.path.exists(path) and not merge:
         os.remove(path)
     con = sqlite3.connect(path)
+    # fixed values of the format: its tables and columns
     con.executescript(
         "PRAGMA synchronous=OFF; PRAGMA journal_mode=MEMORY;"
         "CREATE TABLE IF NOT EXISTS metadata (name text, value text, UNIQUE (name));"
@@ -31,8 +39,20 @@ def create(path: str, merge: bool = False) -> sqlite3.Connection:
 def write(tiles: DataFrame, path: str, metadata: dict, merge: bool = False) -> int:
     """Tiles (z, x, y, data) into a file on the driver, a partition in memory at a time; gives how many.
 
-    SQLite wants one writer, so compressing and encoding are done before, by all tasks.
+    SQLite wants one writer, so compressing and encoding are done before, by all tasks. A file in a store is made on the
+    driver's disk and then copied.
     """
+    if local_path(path) is None:
+        with tempfile.TemporaryDirectory() as folder:
+            own = f"{folder}/tiles.mbtiles"
+            if merge:
+                with on_disk(path) as old:
+                    shutil.copy(old, own)
+            n = write(tiles, own, metadata, merge)
+            with open(own, "rb") as source, open_output(path) as to:
+                shutil.copyfileobj(source, to, 1 << 20)
+            return n
+    path = local_path(path)
     con, n = create(path, merge), 0
     verb = "REPLACE" if merge else "INSERT"
     with con:
@@ -51,11 +71,8 @@ def write(tiles: DataFrame, path: str, metadata: dict, merge: bool = False) -> i
 
 
 def metadata(path: str) -> dict[str, str]:
-    con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    try:
+    with on_disk(path) as own, contextlib.closing(sqlite3.connect(f"file:{own}?mode=ro", uri=True)) as con:
         return dict(con.execute("SELECT name, value FROM metadata"))
-    finally:
-        con.close()
 
 
 def bounds(path: str) -> tuple[float, ...]:
@@ -77,20 +94,17 @@ class MbtilesReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self):
-        con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        try:
-            zooms = [r[0] for r in con.execute("SELECT DISTINCT zoom_level FROM tiles ORDER BY 1")]
-        finally:
-            con.close()
-        return [InputPartition(z) for z in zooms] or [InputPartition(-1)]
+        with on_disk(self.path) as path, contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+            ends = con.execute("SELECT min(rowid), max(rowid) FROM tiles").fetchone()
+        if ends[0] is None:
+            return [InputPartition((0, 0))]
+        return [InputPartition((a, min(a + ROWS, ends[1] + 1))) for a in range(ends[0], ends[1] + 1, ROWS)]
 
     def read(self, partition):
-        con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        try:
-            for x, row, data in con.execute("SELECT tile_column, tile_row, tile_data FROM tiles WHERE zoom_level=?", (partition.value,)):
-                yield partition.value, x, flip(partition.value, row), bytes(data)
-        finally:
-            con.close()
+        with on_disk(self.path) as path, contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+            found = con.execute("SELECT zoom_level, tile_column, tile_row, tile_data FROM tiles WHERE rowid >= ? AND rowid < ?", partition.value)
+            for z, x, row, data in found:
+                yield z, x, flip(z, row), bytes(data)
 
 
 class MbtilesSource(DataSource):
@@ -106,6 +120,6 @@ class MbtilesSource(DataSource):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All tiles of a file, a partition a zoom."""
+    """All tiles of a file, a partition for each ROWS of them."""
     spark.dataSource.register(MbtilesSource)
     return spark.read.format("tessella_mbtiles").option("path", path).load()

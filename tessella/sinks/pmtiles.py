@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import gzip
 import json
-import os
 import struct
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import projection as P
+from tessella.storage import filesystem, open_input, open_output
 
 #: Fixed values of the format: header size, the room for header and root directory, type codes.
 HEADER, ROOT_ROOM = 127, 16384
@@ -145,11 +146,12 @@ def write(tiles: DataFrame, path: str, metadata: dict, bounds: tuple[float, floa
     counts = (sum(r[3] for r in rows), len(rows), len({r[1] for r in rows}))
     centre = ((bounds[0] + bounds[2]) / 2, (bounds[1] + bounds[3]) / 2, (zooms[0] + zooms[1]) // 2)
     part = f"{path}.part"
-    with open(part, "wb") as f:
+    with open_output(part) as f:
         f.write(header(len(root), len(meta), len(leaves), total, counts, zooms, bounds, centre) + root + meta + leaves)
         for r in blobs.select("offset", "data").orderBy("offset").toLocalIterator():
             f.write(r.data)
-    os.replace(part, path)
+    store, place_ = filesystem(part)
+    store.move(place_, filesystem(path)[1])
     return counts[0]
 
 
@@ -168,6 +170,44 @@ def tile_id(z: int, x: int, y: int) -> int:
     return d
 
 
+def tile_of(number: int) -> tuple[int, int, int]:
+    """(z, x, y) of a tile's number along the curve."""
+    z = ((3 * number + 1).bit_length() - 1) // 2
+    d, x, y = number - ((1 << 2 * z) - 1) // 3, 0, 0
+    for k in range(z):
+        s = 1 << k
+        rx = d >> 1 & 1
+        ry = (d ^ rx) & 1
+        if not ry:
+            if rx:
+                x, y = s - 1 - x, s - 1 - y
+            x, y = y, x
+        x, y, d = x + s * rx, y + s * ry, d >> 2
+    return z, x, y
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(z, x, y, data) of every tile of a file, unzipped: the driver reads the directories, tasks read ranges of contents."""
+    reader = Reader(path)
+    at = reader.data_at
+    rows = [(i, o, n, r) for i, o, n, r in reader.entries()]
+    entries = spark.createDataFrame(rows, "tile_id long, offset long, length long, run_length long")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            with open_input(path) as f:
+                for first, offset, length, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    f.seek(at + offset)
+                    data = gzip.decompress(f.read(length))
+                    out += [(*tile_of(first + k), data) for k in range(count)]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["z", "x", "y", "data"])
+
+    return entries.mapInArrow(run, "z int, x int, y int, data binary")
+
+
 class Reader:
     """Header, metadata and tiles of a file, by range."""
 
@@ -181,7 +221,7 @@ class Reader:
         self.counts, self.zooms, self.bounds = f[8:11], f[15:17], tuple(v / 1e7 for v in f[17:21])
 
     def _range(self, at: int, n: int) -> bytes:
-        with open(self.path, "rb") as f:
+        with open_input(self.path) as f:
             f.seek(at)
             return f.read(n)
 

@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.sinks.compression import MODES
+from tessella.storage import open_input, size
 
 ALGORITHMS = ("douglas-peucker", "visvalingam", "buildings")
 
@@ -175,15 +176,25 @@ def output_mode(path: str) -> str:
 
 def newline_chunks(path: str, n: int) -> list[tuple[int, int]]:
     """About n (offset, length) ranges of a file that end at newlines."""
-    import os
-
-    size, out, at = os.path.getsize(path), [], 0
-    step = max(1, size // max(1, n))
-    with open(path, "rb") as f:
-        while at < size:
-            f.seek(min(at + step, size) - 1)
-            f.readline()
-            end = f.tell()
+    total, out, at = size(path), [], 0
+    step = max(1, total // max(1, n))
+    with open_input(path) as f:
+        while at < total:
+            end = min(at + step, total)
+            f.seek(end - 1)
+            while end < total and (more := f.read(1 << 16)):  # on to the next newline
+                found = more.find(b"\n")
+                if found >= 0:
+                    end += found
+                    break
+                end += len(more)
+            end = min(end, total)
             out.append((at, end - at))
             at = end
     return out
+
+
+def chunk(path: str, at: int, n: int) -> bytes:
+    with open_input(path) as f:
+        f.seek(at)
+        return f.read(n)

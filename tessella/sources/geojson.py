@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.kernels import wkb
+from tessella.storage import open_output
 
 SCHEMA = "feature_id string, geom_type int, geom binary, properties map<string,string>, types map<string,int>"
 STRING, DOUBLE, BOOL = 0, 1, 2
@@ -115,10 +116,10 @@ def write(rows: DataFrame, path: str, digits: int = 5) -> None:
     def rounded(g):
         return [round(v, digits) for v in g] if g and not isinstance(g[0], (list, tuple)) else [rounded(x) for x in g]
 
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"type":"FeatureCollection","features":[')
+    with open_output(path) as f:
+        f.write(b'{"type":"FeatureCollection","features":[')
         for i, r in enumerate(rows.select("geom", "properties").toLocalIterator()):
             kind, shape = wkb.load(r.geom)
             doc = {"type": "Feature", "geometry": {"type": kinds[kind], "coordinates": rounded(shape)}, "properties": r.properties or {}}
-            f.write(("," if i else "") + json.dumps(doc, ensure_ascii=False))
-        f.write("]}")
+            f.write((("," if i else "") + json.dumps(doc, ensure_ascii=False)).encode())
+        f.write(b"]}")

@@ -7,16 +7,21 @@ each read opens only its own. Plain and dense nodes, granularity and offsets, ra
 
 from __future__ import annotations
 
+import lzma
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessella.kernels.protobuf import block, deltas, fields, number, packed, packed_deltas, signed, uvarint, varints, zigzag
+from tessella.storage import open_input, open_output
 
 SORTED, LOCATIONS = "Sort.Type_then_ID", "LocationsOnWays"
 KINDS = ("node", "way", "relation")
@@ -44,7 +49,7 @@ class Header:
 
 def blobs(path: str) -> Iterator[Blob]:
     """The file's blocks, by their headers alone."""
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         at = 0
         while head := f.read(4):
             if len(head) < 4:
@@ -63,7 +68,7 @@ def blobs(path: str) -> Iterator[Blob]:
 
 
 def read_blob(path: str, blob: Blob) -> bytes:
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         f.seek(blob.at)
         data = f.read(blob.size)
     if len(data) != blob.size:
@@ -73,8 +78,14 @@ def read_blob(path: str, blob: Blob) -> bytes:
             return bytes(v)
         if k == 3:
             return zlib.decompress(v)
-        if k in (4, 5, 6, 7):
-            raise ValueError("blob compression other than zlib is not read")
+        if k == 4:
+            return lzma.decompress(v)
+        if k == 7:
+            import zstandard
+
+            return zstandard.ZstdDecompressor().stream_reader(bytes(v)).read()
+        if k in (5, 6):
+            raise ValueError("bzip2 and LZ4 blobs are not read")
     return b""
 
 
@@ -250,7 +261,7 @@ class _Strings:
 
 def write(path: str, nodes=(), ways=(), relations=(), bbox=None, features=(SORTED,), raw: bool = False, per_block: int = 8000, dense: bool = True) -> None:
     """nodes: (id, lat_e7, lon_e7, tags); ways: (id, refs, coords or None, tags); relations: (id, tags, [(type, ref, role)])."""
-    with open(path, "wb") as f:
+    with open_output(path) as f:
         head = b""
         if bbox:
             w, s, e, n = (int(round(v * 1e9)) for v in bbox)
@@ -259,10 +270,10 @@ def write(path: str, nodes=(), ways=(), relations=(), bbox=None, features=(SORTE
         f.write(_frame("OSMHeader", head, raw))
 
         def put(rows, make):
-            rows = list(rows)
-            for i in range(0, len(rows), per_block):
+            rows = iter(rows)
+            while some := list(islice(rows, per_block)):
                 names = _Strings()
-                group = make(rows[i : i + per_block], names)
+                group = make(some, names)
                 f.write(_frame("OSMData", names.block() + block(2, group), raw))
 
         def node_group(rows, names):
@@ -302,4 +313,40 @@ def write(path: str, nodes=(), ways=(), relations=(), bbox=None, features=(SORTE
         put(relations, relation_group)
 
 
+#: Objects of all kinds in one table: kind is 0, 1 or 2 as in KINDS.
+OBJECT = (
+    "kind int, id long, lat_e7 int, lon_e7 int, refs array<long>, tags map<string,string>, members array<struct<type:int,ref:long,role:string>>"
+)
+
+
+def write_parts(objects: DataFrame, folder: str, **options) -> list[str]:
+    """A file for each partition of OBJECT rows, sorted by kind and id as readers like it; the paths of the files.
+
+    Only files of tasks that succeeded are named, so a lost or repeated task leaves nothing but unused files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        ahead = next(rows, None)
+        if ahead is None:
+            return
+
+        def of(kind: int, make):
+            nonlocal ahead
+            while ahead is not None and ahead["kind"] == kind:
+                yield make(ahead)
+                ahead = next(rows, None)
+
+        task = TaskContext.get()
+        path = f"{folder}/part-{task.partitionId()}-{task.taskAttemptId()}.osm.pbf"
+        write(
+            path, of(0, lambda r: (r["id"], r["lat_e7"], r["lon_e7"], dict(r["tags"] or ()))), of(1, lambda r: (r["id"], r["refs"], None, dict(r["tags"] or ()))),
+            of(2, lambda r: (r["id"], dict(r["tags"] or ()), [(m["type"], m["ref"], m["role"]) for m in r["members"]])), **options,
+        )
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    names = [c.split()[0] for c in ("kind", "id", "lat_e7", "lon_e7", "refs", "tags", "members")]
+    return sorted(r.path for r in objects.select(*names).sortWithinPartitions("kind", "id").mapInArrow(run, "path string").collect())
+
+
 __all__ = ["PbfSource", "read", "read_header", "has_feature", "write", "blobs", "uvarint"]
