@@ -229,7 +229,7 @@ def render(rows: DataFrame, config: Config) -> DataFrame:
     rows = rows.dropDuplicates(["z", "x", "y", "layer_id", "source_pos", "z_order", "geom_type", "attr_hash", "feature_id", "osm_id"])
     if any(la.feature_limit for la in config.layers):
         limits, below = pick([la.feature_limit for la in config.layers]), pick([la.feature_limit_below for la in config.layers])
-        rows = limit_features(rows, ["z", "x", "y", "layer_id", "source_pos"], order, limits, below)
+        rows = limit_features(rows, ["z", "x", "y", "layer_id", "source_pos"], order, limits, below, max(la.feature_limit for la in config.layers))
 
     def one(key, pdf):
         z, x, y, group = (int(v) for v in key)

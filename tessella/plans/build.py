@@ -24,7 +24,7 @@ from tessella.sinks import compression, directory, mbtiles, metadata, pmtiles
 from tessella.sources import config as C
 from tessella.sources import geojson, osm_pbf, shapefile
 
-#: Bits that keep ids of nodes, ways and relations apart in feature ids.
+#: Bits that keep ids of nodes, ways and relations apart in feature ids; external shapes have 3 and their place in the input.
 _OSM_KIND = {"node": 0, "way": 1, "relation": 2}
 
 
@@ -199,7 +199,7 @@ def external_features(spark: SparkSession, layer: C.Layer, box, remap=None, firs
     attrs = F.transform(F.filter(F.map_entries(props), lambda e: e["key"] != "_minzoom"), as_attr)
     fmin = F.coalesce(props["_minzoom"].try_cast("int"), F.lit(layer.minzoom))
     projected = rows.select(
-        (F.xxhash64("geom", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 40) - 1)) * 4 + 3).alias("feature_id"), F.lit(None).cast("long").alias("osm_id"),
+        (F.monotonically_increasing_id() * 4 + 3).alias("feature_id"), F.lit(None).cast("long").alias("osm_id"),
         F.lit(1).alias("source_pos"), F.lit(layer.name).alias("layer"), "geom_type", "geom", F.array_sort(attrs).alias("attrs"), fmin.alias("fmin"), F.lit(0).alias("z_order"),
     )
 

@@ -56,21 +56,11 @@ def stored_coordinates(spark, d):
     return D.nodes(spark, d).select("id", P.to_e7("lon").alias("lon_e7"), P.to_e7("latp").alias("latp_e7"), F.round(P.latp_to_lat("latp") * 1e6).cast("long").alias("lat_e6"))
 
 
-@query("""WITH t AS (SELECT DISTINCT p_size AS z, p_partkey % 8 AS x, p_partkey % 5 AS y FROM part WHERE p_size BETWEEN 3 AND 14)
-SELECT z, x, y, CAST(round((x / pow(2, z) * 360 - 180) * 1e6) AS BIGINT) AS west, CAST(round((180 - y / pow(2, z) * 360) * 1e6) AS BIGINT) AS north,
-  CAST(round((degrees(atan(exp(radians(180 - y / pow(2, z) * 360)))) * 2 - 90) * 1e6) AS BIGINT) AS north_lat FROM t""")
-def tile_corners(spark, d):
-    """X5"""
-    t = D.table(spark, d, "part").where(F.col("p_size").between(3, 14)).select(F.col("p_size").alias("z"), (F.col("p_partkey") % 8).alias("x"), (F.col("p_partkey") % 5).alias("y")).distinct()
-    e6 = lambda c: F.round(c * 1e6).cast("long")
-    return t.select("z", "x", "y", e6(P.tilex_to_lon("x", "z")).alias("west"), e6(P.tiley_to_latp("y", "z")).alias("north"), e6(P.tiley_to_lat("y", "z")).alias("north_lat"))
-
-
 @query(f"""WITH {D.NODES}, p AS (SELECT {D.tile(12)} FROM nodes), u AS (SELECT unnest(range(0, 13)) AS z),
 t AS (SELECT DISTINCT CAST(z AS INTEGER) AS z, x >> CAST(12 - z AS INTEGER) AS x, y >> CAST(12 - z AS INTEGER) AS y FROM p, u)
 SELECT z, x, y, CAST(round((x / pow(2, z) * 360 - 180) * 1e6) AS BIGINT) AS west, CAST(round((180 - y / pow(2, z) * 360) * 1e6) AS BIGINT) AS north,
   CAST(round((degrees(atan(exp(radians(180 - y / pow(2, z) * 360)))) * 2 - 90) * 1e6) AS BIGINT) AS north_lat FROM t""")
-def tile_corners_all(spark, d):
+def tile_corners(spark, d):
     """X5, of the tiles of every node"""
     t = T.tile_set(T.index_points(D.nodes(spark, d), 12), 12)
     e6 = lambda c: F.round(c * 1e6).cast("long")
@@ -194,7 +184,7 @@ def feature_limit(spark, d):
     r = _in_tiles(spark, d, 12, 12)
     up = O.ascending(F.col("feature_limit"))
     order = [F.when(up, F.col("z_order")).otherwise(-F.col("z_order")), F.col("id")]
-    return O.limit_features(r, ["name", "z", "x", "y"], order, F.col("feature_limit"), F.lit(10)).select("name", "z", "x", "y", "id")
+    return O.limit_features(r, ["name", "z", "x", "y"], order, F.col("feature_limit"), F.lit(10), max(x[4] for x in _LAYER_ROWS)).select("name", "z", "x", "y", "id")
 
 
 @query(f"WITH {_TILES} SELECT name AS layer, z, x, y, status, z_order, count(*) AS n_points, min(id) AS feature_id FROM r GROUP BY ALL")
@@ -297,20 +287,10 @@ def z_order_encode(spark, d):
     return v.select("id", P.encode_z_order("z").alias("z_order"), P.encode_min_zoom(F.col("z") / 100).alias("min_zoom"))
 
 
-@query(f"""WITH {D.NODES}, z AS (SELECT unnest([6, 9, 13]) AS z), l AS (SELECT id, degrees(atan(exp(radians(latp)))) * 2 - 90 AS la FROM nodes WHERE id % 7 = 0)
-SELECT id, z, CASE WHEN z < 13 THEN CAST(round(degrees(30 / 6371000::DOUBLE / cos(radians(la))) * pow(2, 12 - z) * 1e8) AS BIGINT) ELSE 0 END AS level_e8,
- CASE WHEN z < 10 THEN CAST(round(degrees(500 / 6371000::DOUBLE / cos(radians(la))) * pow(2, 9 - z) * 1e6) AS BIGINT) ELSE 0 END AS area_e6 FROM l, z""")
-def simplify_levels(spark, d):
-    """X17 X18"""
-    n = D.nodes(spark, d).where("id % 7 = 0").withColumn("z", F.explode(F.array(*[F.lit(z) for z in (6, 9, 13)])))
-    level = P.simplify_level("z", "latp", F.lit(0.01), F.lit(30.0), F.lit(2.0), F.lit(13))
-    return n.select("id", "z", F.round(level * 1e8).cast("long").alias("level_e8"), F.round(P.filter_area_level("z", "latp", F.lit(500.0), F.lit(10)) * 1e6).cast("long").alias("area_e6"))
-
-
 @query(f"""WITH {D.NODES}, z AS (SELECT unnest([6, 9, 13]) AS z), l AS (SELECT id, degrees(atan(exp(radians(latp)))) * 2 - 90 AS la FROM nodes)
 SELECT id, z, CASE WHEN z < 13 THEN CAST(round(degrees(30 / 6371000::DOUBLE / cos(radians(la))) * pow(2, 12 - z) * 1e8) AS BIGINT) ELSE 0 END AS level_e8,
  CASE WHEN z < 10 THEN CAST(round(degrees(500 / 6371000::DOUBLE / cos(radians(la))) * pow(2, 9 - z) * 1e6) AS BIGINT) ELSE 0 END AS area_e6 FROM l, z""")
-def simplify_levels_all(spark, d):
+def simplify_levels(spark, d):
     """X17 X18, for every node"""
     n = D.nodes(spark, d).withColumn("z", F.explode(F.array(*[F.lit(z) for z in (6, 9, 13)])))
     level = P.simplify_level("z", "latp", F.lit(0.01), F.lit(30.0), F.lit(2.0), F.lit(13))
@@ -347,40 +327,20 @@ def tag_lookups(spark, d):
 # nodes, ways, relations
 
 
-@query("SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0")
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'")
 def used_ways_semi(spark, d):
-    """J6 F5"""
-    r = D.relations(spark, d).where("id % 3 = 0")
-    return R.used_ways(D.ways(spark, d), r).select("id")
-
-
-@query("SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 11 = 0)")
-def used_nodes_semi(spark, d):
-    """J7 R4"""
-    return R.used_nodes(D.part_nodes(spark, d), D.ways(spark, d).where("id % 11 = 0")).select("id")
-
-
-@query("SELECT p_partkey AS id FROM part WHERE p_size > 40 OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 11 = 0)")
-def kept_nodes(spark, d):
-    """J8"""
-    n = D.part_nodes(spark, d).join(D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
-    return R.kept_nodes(n, D.ways(spark, d).where("id % 11 = 0"), F.col("p_size") > 40).select("id")
-
-
-@query("SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
-def used_ways_all(spark, d):
-    """J6 F5, by all relations"""
-    return R.used_ways(D.ways(spark, d), D.relations(spark, d)).select("id")
+    """Ways of the relations that a tag accepts"""
+    return R.used_ways(D.ways(spark, d), D.relations(spark, d).where(F.col("tags")["segment"] != "BUILDING")).select("id")
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
-def used_nodes_all(spark, d):
+def used_nodes_semi(spark, d):
     """J7 R4, by all ways"""
     return R.used_nodes(D.part_nodes(spark, d), D.ways(spark, d)).select("id")
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_size > 40 OR p_partkey IN (SELECT l_partkey FROM lineitem)")
-def kept_nodes_all(spark, d):
+def kept_nodes(spark, d):
     """J8, by all ways"""
     n = D.part_nodes(spark, d).join(D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
     return R.kept_nodes(n, D.ways(spark, d), F.col("p_size") > 40).select("id")
@@ -739,7 +699,8 @@ def pmtiles_entries(spark, d):
     return place(encoded(_boxes_as_features(spark, d), _tile_config()))[0]
 
 
-@query()
+@query("""WITH c AS (SELECT o_custkey AS rel, count(*) AS n, CAST((count(*) + 1) // 2 AS INTEGER) AS k FROM orders GROUP BY o_custkey)
+SELECT rel, k AS n_ways, CASE WHEN n > 2 THEN 1 ELSE 0 END AS n_rings, 0 AS n_chains, CASE WHEN k = 1 THEN 1 WHEN k % 2 = 1 THEN k - 1 ELSE k END AS n_stitched FROM c""")
 def ring_assembly(spark, d):
     """A7 A9 A10 A11 J12"""
     import pandas as pd
@@ -787,7 +748,12 @@ def label_points(spark, d):
     return b.mapInPandas(run, "id int, pole_x long, pole_y long, centre_x double, centre_y double")
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 1000) * 100.0::DOUBLE AS area FROM orders),
+z AS (SELECT id, CASE WHEN area > 305.7 * 305.7 THEN 10 WHEN area > 152.9 * 152.9 THEN 11 WHEN area > 76.4 * 76.4 THEN 12 WHEN area > 38.2 * 38.2 THEN 13 ELSE 14 END AS z FROM o)
+SELECT 'building' AS layer, z AS fmin, count(*) AS n, 2 * count(*) AS n_attrs FROM z WHERE id % 5 = 0 GROUP BY z
+UNION ALL SELECT 'poi_detail', NULL, count(*), 2 * count(*) FROM z WHERE id % 5 = 0 AND id % 7 <> 0 HAVING count(*) > 0
+UNION ALL SELECT 'transportation', 12, count(*), 4 * count(*) FROM z WHERE id % 3 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'water', z, count(*), count(*) FROM z WHERE id % 7 = 0 GROUP BY z UNION ALL SELECT 'water_name_detail', z, count(*), 2 * count(*) FROM z WHERE id % 7 = 0 GROUP BY z""")
 def profile_features(spark, d):
     """P1 P2 P9 P11 L7 M5 M14"""
     o = D.table(spark, d, "orders")
@@ -798,3 +764,20 @@ def profile_features(spark, d):
     rows = o.select(F.col("o_orderkey").alias("id"), tags.alias("tags"), F.lit(True).alias("closed"), (F.col("o_orderkey") % 1000 * 100.0).alias("area"), F.lit(None).cast("double").alias("admin_level"))
     found = rules.apply(rows, rules.schema_ways(F.col("tags")))
     return found.groupBy("layer", "fmin").agg(F.count("*").alias("n"), F.sum(F.size("attrs")).alias("n_attrs"))
+
+
+_POI_VALUES = ("bench", "bar", "parking", "waste_basket", "post_box", "charging_station", "school", "vending_machine", "hospital", "cafe", "fountain")
+_POI_OF = {"bar": (22, "bar"), "parking": (25, "amenity"), "waste_basket": (25, "amenity"), "post_box": (16, "post"), "school": (7, "school"), "hospital": (1, "hospital"), "cafe": (25, "cafe")}
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, ({list(_POI_VALUES)!r})[CAST(o_orderkey % {len(_POI_VALUES)} + 1 AS INTEGER)] AS v, CASE WHEN o_orderkey % 3 = 0 THEN 'common' ELSE 'park' END AS l FROM orders),
+a AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {r}, '{c}')" for k, (r, c) in _POI_OF.items())}) t(v, rank, class))
+SELECT id, CASE WHEN a.v IS NOT NULL THEN a.rank WHEN l = 'park' THEN 13 END AS rank, CASE WHEN a.v IS NOT NULL THEN a.class WHEN l = 'park' THEN 'park' END AS class,
+ CASE WHEN a.v IS NOT NULL THEN a.v WHEN l = 'park' THEN 'park' END AS subclass FROM o LEFT JOIN a USING (v)""")
+def poi_values(spark, d):
+    """M7: amenities and leisure that count, with rank and class; others are no point of interest"""
+    k = F.col("o_orderkey")
+    value = F.element_at(F.array(*[F.lit(v) for v in _POI_VALUES]), (k % len(_POI_VALUES) + 1).cast("int"))
+    tags = F.create_map(F.lit("amenity"), value, F.lit("leisure"), F.when(k % 3 == 0, "common").otherwise("park"))
+    t = D.table(spark, d, "orders").select(k.alias("id"), tags.alias("tags")).select("id", rules.poi(F.col("tags")).alias("p"))
+    return t.select("id", "p.rank", "p.class", "p.subclass")

@@ -105,10 +105,12 @@ LANDCOVER = {
     "fell": "grass", "grassland": "grass", "grass": "grass", "heath": "grass", "meadow": "grass", "allotments": "grass", "park": "grass", "village_green": "grass",
     "recreation_ground": "grass", "scrub": "grass", "shrubbery": "grass", "tundra": "grass", "garden": "grass", "golf_course": "grass",
 }
+# Fixed values of the tile schema: lowest zoom of a place.
 PLACE_ZOOM = {
     "continent": 0, "state": 4, "province": 5, "city": 5, "borough": 10, "suburb": 11, "quarter": 12, "hamlet": 12, "neighbourhood": 13,
     "isolated_dwelling": 13, "locality": 13, "island": 12,
 }
+# Fixed values of the tile schema: rank by class, and class by value, of points of interest.
 POI_RANK = {
     "hospital": 1, "railway": 2, "bus": 3, "attraction": 4, "harbor": 5, "college": 6, "school": 7, "stadium": 8, "zoo": 9, "town_hall": 10, "campsite": 11,
     "cemetery": 12, "park": 13, "library": 14, "police": 15, "post": 16, "golf": 17, "shop": 18, "grocery": 19, "fast_food": 20, "clothing_store": 21, "bar": 22,
@@ -129,14 +131,36 @@ POI_CLASS = {
     "swimming_area": "swimming", "swimming": "swimming", "castle": "castle", "ruins": "castle",
 }
 POI_SUBCLASS_KEY = {"information": "information", "place_of_worship": "religion", "pitch": "sport"}
-#: Keys that may make a point of interest, in the order in which they are tried.
+# Fixed values of the tile schema: keys that may make a point of interest, in the order in which they are tried.
 POI_KEYS = ["aerialway", "amenity", "barrier", "building", "highway", "historic", "landuse", "leisure", "railway", "shop", "sport", "tourism", "waterway"]
-#: Values that count, by key; a caller gives a fuller table. `None` takes any value.
+# Fixed values of the tile schema: which values of a key make a point of interest. Of shops and sports there are so many that
+# any value counts here (`None`); a caller gives a narrower table.
 POI_VALUES: dict[str, list[str] | None] = {
-    "aerialway": ["station"], "amenity": None, "barrier": ["bollard", "border_control", "cycle_barrier", "gate", "lift_gate", "sally_port", "stile", "toll_booth"],
-    "building": ["dormitory"], "highway": ["bus_stop"], "historic": ["monument", "castle", "ruins"],
-    "landuse": ["basin", "brownfield", "cemetery", "reservoir", "winter_sports"], "leisure": None,
-    "railway": ["halt", "station", "subway_entrance", "train_station_entrance", "tram_stop"], "shop": None, "sport": None, "tourism": None, "waterway": ["dock"],
+    "aerialway": ["station"],
+    "amenity": [
+        "arts_centre", "bank", "bar", "bbq", "bicycle_parking", "bicycle_rental", "biergarten", "bus_station", "cafe", "cinema", "clinic", "college",
+        "community_centre", "courthouse", "dentist", "doctors", "embassy", "fast_food", "ferry_terminal", "fire_station", "food_court", "fuel", "grave_yard",
+        "hospital", "ice_cream", "kindergarten", "library", "marketplace", "motorcycle_parking", "nightclub", "nursing_home", "parking", "pharmacy",
+        "place_of_worship", "police", "post_box", "post_office", "prison", "pub", "public_building", "recycling", "restaurant", "school", "shelter",
+        "swimming_pool", "taxi", "telephone", "theatre", "toilets", "townhall", "university", "veterinary", "waste_basket",
+    ],
+    "barrier": ["bollard", "border_control", "cycle_barrier", "gate", "lift_gate", "sally_port", "stile", "toll_booth"],
+    "building": ["dormitory"],
+    "highway": ["bus_stop"],
+    "historic": ["monument", "castle", "ruins"],
+    "landuse": ["basin", "brownfield", "cemetery", "reservoir", "winter_sports"],
+    "leisure": [
+        "dog_park", "escape_game", "garden", "golf_course", "ice_rink", "hackerspace", "marina", "miniature_golf", "park", "pitch", "playground",
+        "sports_centre", "stadium", "swimming_area", "swimming_pool", "water_park",
+    ],
+    "railway": ["halt", "station", "subway_entrance", "train_station_entrance", "tram_stop"],
+    "shop": None,
+    "sport": None,
+    "tourism": [
+        "alpine_hut", "aquarium", "artwork", "attraction", "bed_and_breakfast", "camp_site", "caravan_site", "chalet", "gallery", "guest_house", "hostel",
+        "hotel", "information", "motel", "museum", "picnic_site", "theme_park", "viewpoint", "zoo",
+    ],
+    "waterway": ["dock"],
 }
 
 

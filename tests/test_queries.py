@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from tessella.plans import file_queries, shape_queries  # noqa: F401  they register their queries
 from tessella.plans import queries as Q
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -59,5 +60,7 @@ def test_filters_reach_the_scan(spark):
     """Only the columns a query needs are read, and simple filters are pushed down."""
     plan = Q.QUERIES["point_tiles_z14"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+    limit = Q.QUERIES["feature_limit"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert limit.count("WindowGroupLimit") == 2  # before and after the exchange
     plan = Q.QUERIES["significant_tags_accept"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan
