@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,12 +144,66 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows and bytes that a task holds before it writes them to its file.
+GROUP_ROWS, GROUP_BYTES = 1 << 17, 16 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage cut, columns read as needed, and no partitioning assumed,
-    so a join with it may split its large partitions."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    so a join with it may split its large partitions.
+
+    Workers write the files and report them, and only reported files are read, so a lost or repeated task leaves nothing but an
+    unused file. (Spark's own writers start a process for each file's permissions where Hadoop has no native library.)
+    """
+    spark, folder, schema = df.sparkSession, new_folder(df.sparkSession, name), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        store, root = filesystem(folder)
+        task = TaskContext.get()
+        file = f"part-{task.partitionId()}-{task.taskAttemptId()}.parquet"
+        out = writer = None
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if writer is None:
+                    store.create_dir(root, recursive=True)
+                    out = store.open_output_stream(f"{root}/{file}")
+                    writer = pq.ParquetWriter(out, batch.schema, compression="zstd", compression_level=3)
+                held.append(batch)
+                rows, size = rows + batch.num_rows, size + batch.nbytes
+                if rows >= GROUP_ROWS or size >= GROUP_BYTES:
+                    writer.write_table(pa.Table.from_batches(held), row_group_size=rows)
+                    held, rows, size = [], 0, 0
+            if held:
+                writer.write_table(pa.Table.from_batches(held), row_group_size=rows)
+        finally:
+            if writer is not None:
+                writer.close()
+                out.close()
+        if writer is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([file])], names=["file"])
+        tidy()
+
+    files = sorted(r.file for r in df.mapInArrow(run, "file string").collect())
+    if not files:
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(*[f"{folder}/{f}" for f in files])
+    found.written_to = folder
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete `written` tables that nothing will read any more: all that was made of them is written itself."""
+    for t in tables:
+        folder = getattr(t, "written_to", None)
+        if folder in _made:
+            _made.remove(folder)
+            _delete(t.sparkSession, folder)
 
 
 def apart(key: Column | str, kind: str = "long") -> Column:
@@ -178,13 +233,17 @@ def forget(spark: SparkSession) -> int:
 
     Results read those tables lazily, so this is for the caller, who knows that a result is stored.
     """
-    jvm, deleted = spark.sparkContext._jvm, 0
+    deleted = 0
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        deleted += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        deleted += _delete(spark, _made.pop())
     return deleted
 
 
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; works on executors too."""
     from pyarrow import fs

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import checkpoint
+from tessella.llm.common import discard, written
 
 
 def _again(node: str, kind: T.DataType) -> Column:
@@ -47,11 +47,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     x, y = edges.columns
     e = edges.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    e = checkpoint(e.distinct())
+    e = written(e.distinct(), "edges")
     rows, mark = e.count(), None
     for _ in range(max_rounds):
         # edges never multiply, so the first count bounds all rounds'
-        e = checkpoint(_star(_star(e, True), False).coalesce(max(PARTS, rows // PART_ROWS)))
+        last, e = e, written(_star(_star(e, True), False).coalesce(max(PARTS, rows // PART_ROWS)), "edges")
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
