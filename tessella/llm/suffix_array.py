@@ -5,8 +5,8 @@ previous-smaller pointer (the nearest position to the left in a lower group) nam
 extends by the member's; such suffixes leave their group for a higher one of their own, those reached by more
 repetitions of the member's prefix above those reached by fewer. After that the groups hold suffixes of equal
 Lyndon prefix in final order, and one pass from the smallest suffix up emits each group's order: a suffix on the
-pointer chain left of an emitted one is the next of its group. No ranks are renamed and nothing recurses. All state is in
-arrays of 32 bits, some 30 bytes a symbol.
+pointer chain left of an emitted one is the next of its group. No ranks are renamed and nothing recurses. A long text's state is
+in arrays of 32 bits, some 30 bytes a symbol; a short one's is in lists, which are faster.
 """
 
 from __future__ import annotations
@@ -15,6 +15,14 @@ from array import array
 from collections.abc import Sequence
 
 
+#: Symbols from which state is held in arrays.
+SMALL = 1 << 15
+
+
+def room(value: int, n: int) -> list[int] | array:
+    return [value] * n if n <= SMALL else array("i", [value]) * n
+
+
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Start positions of the suffixes of text, smallest first. Symbols are integers from 0 on."""
     n = len(text)
@@ -29,8 +37,8 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     for c in range(top):
         begin[c] = at
         at += count[c]
-    sa, isa, group = array("i", [n]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
-    size, prev = array("i", [0]) * (n + 1), array("i", [n]) * (n + 1)
+    sa, isa, group = room(n, n + 1), room(0, n + 1), room(0, n + 1)
+    size, prev = room(0, n + 1), room(n, n + 1)
     size[0] = 1
     for c in range(top):
         if count[c]:
@@ -99,7 +107,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     placed = bytearray(n + 1)
     placed[n] = 1
     sa[0] = n
-    fill = array("i", range(n + 1))
+    fill = list(range(n + 1)) if n < SMALL else array("i", range(n + 1))
     for r in range(n + 1):
         s = sa[r] - 1
         while not placed[s]:
@@ -108,4 +116,4 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             sa[fill[g]] = s
             fill[g] += 1
             s = prev[s]
-    return sa[1:].tolist()
+    return sa[1:] if n < SMALL else sa[1:].tolist()

@@ -13,8 +13,9 @@
 
 Texts are shuffled compressed, and only to meet their regions and, in the end, their runs.
 
-A row is known by 96 bits of hashes of its kept columns and text (equal rows share them and have equal results); regions
-and shared strings by 128-bit digests: at 10**10 documents a chance meeting of two is below one in 10**8.
+A row is known by 96 bits of hashes of its kept columns and text (equal rows share them and have equal results): at 10**10
+documents a chance meeting of two is below one in 10**8. (64 of them lead to its anchors: rows that share those by chance
+are cut into more regions than they need.) Shared strings are known by 96 bits, regions by 64 more among those of one.
 
 Defined results: null text is empty and keeps nothing; texts under `length` bytes keep all; a very long text is read whole,
 in blocks (up to 2**31 bytes, Spark's own limit); repeated rows are texts of their own, so they remove each other; an empty
@@ -23,6 +24,7 @@ table gives an empty one; kept columns named as a result are replaced, other col
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import apart, as_bytes, release, slices, small_batches, tidy, written
+from tessella.llm.common import apart, as_bytes, discard, release, slices, small_batches, tidy, written
 from tessella.llm.suffix_array import suffix_array
 
 LENGTH, GRAM, GROUP = 200, 100, 1500
+_LOW = (1 << 64) - 1
+#: Symbols of a suffix array beside bytes: a region's end, and the gram.
+_END, _GRAM = np.array([0], np.uint16), np.array([1], np.uint16)
 #: Windows handled at once when anchors are sought.
 BLOCK = 1 << 19
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x2545F4914F6CDD1D))
@@ -124,8 +129,8 @@ def _anchor_rows(length: int, gram: int):
                 offsets = np.cumsum([0, *map(len, texts)])
                 h, text, first, left, n = anchors(np.frombuffer(b"".join(texts), np.uint8), offsets, length, gram)
                 at = first << 32 | left << 16 | n
-                own = [part.column(i).take(pa.array(text)) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *own, pa.array(at)], names=["h", "key", "also", "at"])
+                keys = part.column(0).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys, pa.array(at)], names=["h", "key", "at"])
         tidy()
 
     return run
@@ -146,15 +151,18 @@ def _compressed(fields: list[str]):
 
 
 def _regions(length: int, gram: int):
-    """Rows (key, also, row, at: list of packed runs): one row per region, with its digests and its bytes but the gram."""
+    """Rows (key, also, row, at: list of packed runs): one row per region: digests of its gram (96 bits: gram, mark) and of all of
+    it, and its bytes but the gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+        unpack, digest, wide = zstandard.ZstdDecompressor(), xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
+        kinds = (pa.int64(), pa.int32(), pa.uint64(), pa.uint32(), pa.uint64(), pa.int64(), pa.int32(), pa.binary())
+        names = ["key", "also", "gram", "mark", "region", "first", "left", "rest"]
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "also", "gram", "region", "first", "left", "rest"])
+            cols = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)]
+            cols[2:5] = [c.view(pa.int32() if c.type == pa.uint32() else pa.int64()) for c in cols[2:5]]
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
         rows: list[tuple] = []
         for batch in batches:
@@ -164,8 +172,11 @@ def _regions(length: int, gram: int):
                 for at in batch.column(3)[i].as_py():
                     first, left, n = at >> 32, at >> 16 & 0xFFFF, at & 0xFFFF
                     region = text[first : first + n + length - 1]
+                    if len(region) < n + length - 1:
+                        continue  # another row's run, whose key is the same by chance
                     shared = region[left : left + gram]
-                    rows.append((key, also, digest(shared), digest(region, left), first, left, region[:left] + region[left + gram :]))
+                    h = wide(shared)
+                    rows.append((key, also, h & _LOW, h >> 64 & 0xFFFFFFFF, digest(region, left), first, left, region[:left] + region[left + gram :]))
                     if len(rows) >= 20_000:
                         yield emit(rows)
                         rows = []
@@ -175,15 +186,41 @@ def _regions(length: int, gram: int):
     return run
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    m = min(len(a), len(b))
+    x = int.from_bytes(a[:m], "big") ^ int.from_bytes(b[:m], "big")
+    return m - (x.bit_length() + 7) // 8
+
+
+def _reach(parts: list[bytes]) -> list[int]:
+    """How far each string agrees with some other one, from the beginning."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        n = _common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
 def repeated_windows(regions: list[tuple[int, bytes]], length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """Which windows of each region (bytes before the shared gram, all its other bytes) start in another place too."""
+    """Which windows of each region (bytes before the shared gram, all its other bytes) start in another place too.
+
+    What no other region has at the same distance from the gram can't repeat and stays out of the suffix array.
+    """
     width = length - gram + 1  # symbols of a window, with the gram as one
+    masks = [np.zeros(len(rest) + 2 - width, bool) for _, rest in regions]
+    before, after = _reach([rest[:left][::-1] for left, rest in regions]), _reach([rest[left:] for left, rest in regions])
+    kept = [k for k, (a, b) in enumerate(zip(before, after, strict=True)) if a + b + 1 >= width]
+    if len(kept) < 2:
+        return masks
     parts: list[np.ndarray] = []
-    for left, rest in regions:
+    for k in kept:
+        left, rest = regions[k]
         b = np.frombuffer(rest, np.uint8).astype(np.uint16) + np.uint16(2)
-        parts += [b[:left], np.array([1], np.uint16), b[left:], np.array([0], np.uint16)]
+        parts += [b[left - before[k] : left], _GRAM, b[left : left + after[k]], _END]
     flat = np.concatenate(parts)
-    sizes = np.array([len(rest) + 2 for _, rest in regions])
+    sizes = np.array([before[k] + after[k] + 2 for k in kept])
     counts = sizes - width
     begin = np.cumsum(sizes) - sizes
     opens = np.zeros(len(flat), bool)
@@ -199,7 +236,10 @@ def repeated_windows(regions: list[tuple[int, bytes]], length: int = LENGTH, gra
         same = (flat[a[:, None] + span] == flat[b[:, None] + span]).all(axis=1)
         again[a[same]] = True
         again[b[same]] = True
-    return [again[s : s + n] for s, n in zip(begin.tolist(), counts.tolist(), strict=True)]
+    for k, s, n in zip(kept, begin.tolist(), counts.tolist(), strict=True):
+        start = regions[k][0] - before[k]
+        masks[k][start : start + n] = again[s : s + n]
+    return masks
 
 
 def runs_of(mask: np.ndarray) -> list[int]:
@@ -209,12 +249,13 @@ def runs_of(mask: np.ndarray) -> list[int]:
 
 
 def _grouped(length: int, gram: int):
-    """Rows (gram, region, n, left, rest) sorted by gram: (gram, region, runs of repeated windows). A group may span batches."""
+    """Rows (gram, mark, region, n, left, rest) sorted by gram and mark: (gram, region, runs of repeated windows). A group may
+    span batches."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
-        masks = repeated_windows([(r[3], r[4]) for r in rows], length, gram)
+        masks = repeated_windows([(r[4], r[5]) for r in rows], length, gram)
         out = []
-        for (g, region, n, _, _), mask in zip(rows, masks, strict=True):
+        for (g, _, region, n, _, _), mask in zip(rows, masks, strict=True):
             runs = [0, len(mask) - 1] if n > 1 else runs_of(mask)
             if runs:
                 out.append((g, region, runs))
@@ -223,14 +264,14 @@ def _grouped(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(out: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [[]] * 3
-            kinds = (pa.binary(), pa.binary(), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["gram", "region", "runs"])
 
         group: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][0] != row[0]:
+                if group and group[0][:2] != row[:2]:
                     out += solve(group)
                     group = []
                 group.append(row)
@@ -243,22 +284,23 @@ def _grouped(length: int, gram: int):
 
 
 def _window_rows(length: int, gram: int):
-    """Rows (gram, region, n, left, rest) of a very large group: a digest for each window, which covers the gram too."""
+    """Rows (gram, mark, region, n, left, rest) of a very large group: a digest for each window, which covers the gram too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, one = length - gram, xxhash.xxh3_128_digest
-        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64())
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
         def emit(out: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "region", "w", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "gram", "region", "w", "n"])
 
         for batch in batches:
             out: list[tuple] = []
-            for g, region, n, left, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, mark, region, n, left, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = struct.pack("<qi", g, mark)
                 for w in range(len(rest) - width + 1):
                     # the gram's digest, the window's other bytes, and where the gram stands among them
-                    out.append((one(g + rest[w : w + width], left - w), region, w, n))
+                    out.append((one(own + rest[w : w + width], left - w), g, region, w, n))
                 if len(out) >= 20_000:
                     yield emit(out)
                     out = []
@@ -280,48 +322,50 @@ def merge_spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 
 def _repeated_regions(source: DataFrame, packed: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(key, also, region, first) of the regions whose anchor repeats, and (region, runs of repeated windows). A region is known by its
-    digest, which covers its gram and where that stands.
+    """(key, also, gram, region, first) of the regions whose anchor repeats, and (gram, region, runs of repeated windows).
 
     Each step is a written table, so nothing is computed twice and shuffles of done steps can go. Counts by a key are
     tables of their own before they are joined back: the other side's partition of a hot key can then be split.
     """
     spark = source.sparkSession
     small_batches(spark)
-    found = written(source.select("key", "text", "also").mapInArrow(_anchor_rows(length, gram), "h long, key long, also int, at long"), "anchors")
+    found = written(source.select("key", "text").mapInArrow(_anchor_rows(length, gram), "h long, key long, at long"), "anchors")
     twice = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-repeated")
     sought = written(
-        found.join(twice, "h", "left_semi").groupBy(F.col("key").alias("k"), F.col("also").alias("k2")).agg(F.collect_set("at").alias("at")), "anchors-sought"
+        found.join(twice, "h", "left_semi").groupBy(F.col("key").alias("k")).agg(F.collect_set("at").alias("at")), "anchors-sought"
     )
+    discard(found, twice)
     release(spark)
     regions = written(
-        packed.join(sought, (packed["key"] == sought["k"]) & (packed["also"] == sought["k2"])).select("key", "also", "row", "at")
-        .mapInArrow(_regions(length, gram), "key long, also int, gram binary, region binary, first long, left int, rest binary"), "regions",
+        packed.join(sought, packed["key"] == sought["k"]).select("key", "also", "row", "at")
+        .mapInArrow(_regions(length, gram), "key long, also int, gram long, mark int, region long, first long, left int, rest binary"), "regions",
     )
+    discard(sought)
     release(spark)
     distinct = written(
-        regions.groupBy("gram", "region").agg(F.count("*").alias("n"), F.first("left").alias("left"), F.first("rest").alias("rest")), "regions-distinct"
+        regions.groupBy("gram", "mark", "region").agg(F.count("*").alias("n"), F.first("left").alias("left"), F.first("rest").alias("rest")), "regions-distinct"
     )
     once = F.sum((F.col("n") == 1).cast("long"))
-    stats = distinct.groupBy("gram").agg(F.count("*").alias("d"), once.alias("once"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    stats = distinct.groupBy("gram", "mark").agg(F.count("*").alias("d"), once.alias("once"), F.sum("n").alias("all")).where("all > 1").drop("all")
     stats = written(stats, "grams")
     release(spark)
-    cols = ["gram", "region", "n", "left", "rest"]
-    judged = distinct.join(stats, "gram")
+    cols = ["gram", "mark", "region", "n", "left", "rest"]
+    judged = distinct.join(stats, ["gram", "mark"])
     # nothing is left to ask where every region of an anchor repeats whole
     whole = judged.where("once = 0").select(
         "gram", "region", F.array(F.lit(0), (F.length("rest") - (length - gram)).cast("int")).alias("runs")
     )
     some = (
-        judged.where(f"once > 0 and d <= {group}").select(*cols).repartition("gram").sortWithinPartitions("gram")
-        .mapInArrow(_grouped(length, gram), "gram binary, region binary, runs array<int>")
+        judged.where(f"once > 0 and d <= {group}").select(*cols).repartition("gram", "mark").sortWithinPartitions("gram", "mark")
+        .mapInArrow(_grouped(length, gram), "gram long, region long, runs array<int>")
     )
     windows = written(
-        judged.where(f"once > 0 and d > {group}").select(*cols).mapInArrow(_window_rows(length, gram), "digest binary, region binary, w int, n long"), "windows"
+        judged.where(f"once > 0 and d > {group}").select(*cols).mapInArrow(_window_rows(length, gram), "digest binary, gram long, region long, w int, n long"), "windows"
     )
     common = windows.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select(apart("digest", "binary").alias("d"))
-    many = windows.join(common, F.col("digest") == F.col("d"), "left_semi").select("region", F.array("w", "w").alias("runs"))
-    runs = written(whole.select("region", "runs").union(some.select("region", "runs")).union(many), "runs")
+    many = windows.join(common, F.col("digest") == F.col("d"), "left_semi").select("gram", "region", F.array("w", "w").alias("runs"))
+    runs = written(whole.union(some).union(many), "runs")
+    discard(distinct, stats, windows)
     release(spark)
     return regions, runs
 
@@ -347,7 +391,7 @@ def remove_repeats(
         T.StructType([T.StructField("key", T.LongType()), T.StructField("also", T.IntegerType()), T.StructField("row", T.StructType(kinds))]),
     )
     regions, runs = _repeated_regions(source, packed, length, gram, group)
-    places = regions.select("key", "also", "region", "first").join(runs, "region")
+    places = regions.select("key", "also", "gram", "region", "first").join(runs, ["gram", "region"])
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)),
         lambda i: F.struct(
