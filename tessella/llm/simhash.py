@@ -40,7 +40,7 @@ from tessella.llm import shingle_sets as S
 from tessella.llm.common import apart, as_bytes, checkpoint, map_text, small_batches, tidy, written
 from tessella.llm.components import components
 
-TILE = 1024
+TILE = 512
 #: Bits by which sets at a similarity of 0.8 may differ: 10 on average, 20 or more in one of some thousands.
 WIDE = 20
 #: Nodes (some 40 bytes each) up to which a list of them is broadcast.
@@ -417,6 +417,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: in
     # a node holds the fingerprint it stands for, so a linked fingerprint's answer needs no other join
     linked = joined.select(F.col("node.hash").alias("fp"), F.col("component.id").alias("least"))
     least = first.join(linked.withColumnRenamed("fp", "l"), F.col("fp") == F.col("l"), "left").select("fp", F.when(F.col("l").isNull(), F.col("node.id")).otherwise(F.col("least")).alias("least"))
+    least = checkpoint(least)  # so both sides are exchanged, and a hot fingerprint's partition can be split
     return found.join(least.select(apart("fp").alias("k"), "least"), F.col("fp") == F.col("k")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").cast(docs.schema["doc_id"].dataType).alias("component_id")
     )
