@@ -181,6 +181,13 @@ def test_pyramid_descent():
     assert overlay.area([p for part in by[0].values() for p in part]) == pytest.approx(overlay.area(shape), rel=1e-9)
 
 
+def test_coverage_of_a_border_point():
+    """A segment that ends on a cell's border passes only the cells it enters; a lone point still has its own."""
+    line = [(-126.5642, 28.37079332768729), (-11.25, 16.47233896460499)]
+    assert len(K.covered_by_line(line, 6)) == 25 and len(K.covered_by_line(line, 6, touched=False)) == 24
+    assert K.covered_by_line(line[1:] * 2, 6, touched=False) == {(30, 29)}
+
+
 def test_merge_encoded():
     one = mvt.encode([mvt.Layer("a", features=[mvt.Feature(1, [(1, 1)], {"k": 1})]), mvt.Layer("old", features=[mvt.Feature(1, [(2, 2)], {})])])
     two = mvt.encode([mvt.Layer("a", features=[mvt.Feature(1, [(3, 3)], {"k": 2})])])
