@@ -98,24 +98,34 @@ def pbf_headers(spark, d):
 
 # shapefiles
 
+#: Records from which a task begins another file: it holds a file's records until they are written.
+RECORDS = 100000
+
 
 def _shape_parts(rows: DataFrame, folder: str, kind: int, columns: list[tuple[str, str, int, int]]) -> list[str]:
-    """A shapefile for each partition of rows (shape: JSON of its points or parts, values: its texts); their paths."""
+    """Shapefiles of some RECORDS of each partition of rows (shape: JSON of its points or parts, values: its texts); their paths."""
     import json
 
     import pyarrow as pa
     from pyspark import TaskContext
 
     def run(batches):
-        shapes, texts = [], []
+        shapes, texts, n = [], [], 0
+        task = TaskContext.get()
+
+        def written():
+            base = f"{folder}/part-{task.partitionId()}-{task.taskAttemptId()}-{n}"
+            shapefile.write(base, kind, shapes, columns, texts)
+            return pa.RecordBatch.from_arrays([pa.array([base + ".shp"])], names=["path"])
+
         for b in batches:
             shapes += [json.loads(s) for s in b.column(0).to_pylist()]
             texts += b.column(1).to_pylist()
+            if len(shapes) >= RECORDS:
+                yield written()
+                shapes, texts, n = [], [], n + 1
         if shapes:
-            task = TaskContext.get()
-            base = f"{folder}/part-{task.partitionId()}-{task.taskAttemptId()}"
-            shapefile.write(base, kind, shapes, columns, texts)
-            yield pa.RecordBatch.from_arrays([pa.array([base + ".shp"])], names=["path"])
+            yield written()
 
     return sorted(r.path for r in rows.select("shape", "values").mapInArrow(run, "path string").collect())
 

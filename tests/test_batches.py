@@ -53,3 +53,15 @@ def test_merge_numbers_tags_anew():
     one, two = (mvt.encode([mvt.Layer("a", features=[mvt.Feature(1, [(n, n)], {k: v, "both": 1.5}) for n, (k, v) in enumerate(kv)])]) for kv in ([("p", "x"), ("q", "y")], [("q", "y"), ("r", "x")]))
     (la,) = mvt.decode(render.merge_encoded(one, two))
     assert [f.properties for f in la.features] == [{"p": "x", "both": 1.5}, {"q": "y", "both": 1.5}] * 1 + [{"q": "y", "both": 1.5}, {"r": "x", "both": 1.5}]
+
+
+def test_many_records_of_a_shapefile(tmp_path):
+    """Writing takes time in proportion to the records."""
+    import time
+
+    from tessella.sources import shapefile
+
+    began, base = time.time(), str(tmp_path / "many")
+    shapefile.write(base, 1, [(k / 1000, 1.0) for k in range(150000)], [("id", "N", 8, 0)], [[str(k)] for k in range(150000)])
+    assert sum(1 for _ in shapefile.records(base + ".shp")) == 150000
+    assert time.time() - began < 15
