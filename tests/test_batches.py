@@ -65,3 +65,19 @@ def test_many_records_of_a_shapefile(tmp_path):
     shapefile.write(base, 1, [(k / 1000, 1.0) for k in range(150000)], [("id", "N", 8, 0)], [[str(k)] for k in range(150000)])
     assert sum(1 for _ in shapefile.records(base + ".shp")) == 150000
     assert time.time() - began < 15
+
+
+def test_features_of_a_long_collection():
+    """A collection is read piece by piece, whatever stands before its features, nested or not."""
+    import io
+    import json
+
+    from tessella.sources import geojson
+
+    made = [{"type": "Feature", "id": k, "geometry": {"type": "Point", "coordinates": [k / 7, 1.5]}, "properties": {"name": "\u00fc\u4e00" * 5, "n": k}} for k in range(300)]
+    nested = {"name": "x", "features": [{"type": "FeatureCollection", "features": made[:100]}, *made[100:200]], "type": "FeatureCollection"}
+    for indent, separators in ((None, (",", ":")), (2, None)):
+        text = "\x1e".join(json.dumps(d, indent=indent, separators=separators, ensure_ascii=False) for d in (nested, made[200], {"type": "FeatureCollection", "features": made[201:]}))
+        want = [r for d in geojson.documents(text) for r in geojson.features(d)]
+        for piece in (1, 7, 1 << 20):
+            assert list(geojson.Stream(io.BytesIO(text.encode()), None, piece)) == want and len(want) == 300
