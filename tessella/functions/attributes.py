@@ -40,11 +40,10 @@ def attribute_set(*attrs: Column) -> Column:
     """A feature's attributes by key: the last write of a key stands; null values and empty strings are no attribute."""
     listed = F.array(*attrs) if attrs else F.array().cast(f"array<{ATTRIBUTE}>")
     valued = F.filter(listed, lambda a: a.isNotNull() & (a["d"].isNotNull() | (F.coalesce(a["s"], F.lit("")) != "")))
-    last = F.filter(
-        F.transform(valued, lambda a, i: F.struct(a.alias("a"), i.alias("i"))),
-        lambda x: ~F.exists(F.slice(valued, x["i"] + 2, F.size(valued)), lambda later: later["key"] == x["a"]["key"]),
-    )
-    return F.array_sort(F.transform(last, lambda x: x["a"]))
+    none = F.array().cast(f"array<{ATTRIBUTE}>")
+    # folded, so the list is made once: a lambda that reads it would make it anew for each attribute
+    last = F.aggregate(valued, none, lambda kept, a: F.concat(F.filter(kept, lambda k: k["key"] != a["key"]), F.array(a)))
+    return F.array_sort(last)
 
 
 def shown(attrs: Column, zoom) -> Column:

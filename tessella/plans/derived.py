@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to two tasks a core, for work that costs more than the read: a small file is read by few tasks."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def lon_of(key: str):
     return (F.col(key) * 7919) % 3600000 / 10000 - 180
 

@@ -81,3 +81,16 @@ def test_features_of_a_long_collection():
         want = [r for d in geojson.documents(text) for r in geojson.features(d)]
         for piece in (1, 7, 1 << 20):
             assert list(geojson.Stream(io.BytesIO(text.encode()), None, piece)) == want and len(want) == 300
+
+
+def test_attributes_are_made_once(spark):
+    """The last write of a key stands, and the list of attributes stands once in the expression, not in its lambdas too."""
+    from pyspark.sql import functions as F
+
+    from tessella.functions import attributes as A
+
+    made = A.attribute_set(A.attribute("k", F.col("v")), A.attribute("e", F.lit("")), A.attribute_integer("n", F.lit(2), 3), A.attribute("k", F.lit("marked")), F.lit(None).cast(A.ATTRIBUTE))
+    rows = spark.range(1).select(F.lit("a").alias("v")).select(made.alias("a"))
+    assert [(x.key, x.s, x.d, x.minzoom) for x in rows.first().a] == [("k", "marked", None, 0), ("n", None, 2.0, 3)]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("marked") == 1
