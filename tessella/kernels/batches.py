@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from tessella.kernels import lines
+from tessella.kernels.protobuf import ranges, row_sums
+
 _POINT, _LINE = (np.frombuffer(b"\x01" + bytes([k, 0, 0, 0]), np.uint8) for k in (1, 2))
 _ONE = np.frombuffer(b"\x01\x04\0\0\0\x01\0\0\0\x01\x01\0\0\0", np.uint8)  # a multipoint of one point, before its coordinates
 
@@ -201,3 +204,137 @@ def few(sizes: np.ndarray, most: int) -> Iterator[slice]:
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
         yield slice(at, to)
         at = to
+
+
+# lines: written as WKB, tiles they pass, points that are left of them
+
+
+def line_wkb(counts: np.ndarray, xy: np.ndarray) -> pa.Array:
+    """Lines of so many consecutive points each as WKB."""
+    size = 9 + 16 * counts
+    end = np.cumsum(size)
+    data = np.empty(int(size.sum()), np.uint8)
+    data[(end - size)[:, None] + np.arange(5)] = _LINE
+    data[(end - size + 5)[:, None] + np.arange(4)] = counts.astype("<u4").view(np.uint8).reshape(-1, 4)
+    at = np.repeat(end - size + 9, counts) + 16 * ranges(np.zeros(len(counts), np.int64), counts)
+    data[at[:, None] + np.arange(16)] = np.ascontiguousarray(xy, "<f8").view(np.uint8).reshape(-1, 16)
+    return binary_array(data, end)
+
+
+def covered_by_lines(owner: np.ndarray, xy: np.ndarray, zoom: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, tile x, tile y) of every tile that each line touches, once and in order, as in lines.covered_by_line."""
+    n = 1 << zoom
+    if not np.isfinite(xy).all():
+        raise ValueError("a line leaves the plane")
+    cell = np.column_stack([(xy[:, 0] + 180) / 360 * n, (180 - xy[:, 1]) / 360 * n])
+    found = [(owner, np.floor(cell))]
+    seg = np.flatnonzero((owner[1:] == owner[:-1]) & (cell[1:] != cell[:-1]).any(1))
+    a, b = cell[seg], cell[seg + 1]
+    first = np.ceil(np.minimum(a, b))
+    count = np.where(a != b, np.floor(np.maximum(a, b)) - first + 1, 0).astype(np.int64)
+    order = np.argsort(count.sum(1), kind="stable")
+    for some in few(count.sum(1)[order] + 2, 1 << 18):
+        k = order[some]
+        wide = int(count[k].sum(1).max()) + 2
+        cuts = np.full((len(k), wide), np.inf)
+        cuts[:, 0], cuts[:, 1] = 0, 1
+        at = np.full(len(k), 2)
+        for axis in (0, 1):
+            c = count[k, axis]
+            row = np.repeat(np.arange(len(k)), c)
+            border = first[k, axis][row] + ranges(np.zeros(len(k), np.int64), c)
+            cuts[row, ranges(at, c)] = (border - a[k, axis][row]) / (b[k, axis] - a[k, axis])[row]
+            at = at + c
+        cuts.sort(1)
+        row, col = np.nonzero((cuts[:, 1:] > cuts[:, :-1]) & np.isfinite(cuts[:, 1:]))
+        m = ((cuts[row, col] + cuts[row, col + 1]) / 2)[:, None]
+        row = k[row]
+        found.append((owner[seg[row]], np.floor(a[row] + m * (b[row] - a[row]))))
+    who, tile = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int64)
+    inside = ((tile >= 0) & (tile < n)).all(1)
+    code = np.sort(((who[inside] << zoom) + tile[inside, 0] << zoom) + tile[inside, 1])  # np.unique takes ten times as long
+    code = code[np.diff(code, prepend=-1) != 0]
+    return code >> 2 * zoom, code >> zoom & n - 1, code & n - 1
+
+
+def fill_sizes(owner: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """How many tiles each of n lines has when the gaps of columns are filled; the tiles are in order."""
+    first = np.append(True, (owner[1:] != owner[:-1]) | (x[1:] != x[:-1])) if len(owner) else np.zeros(0, bool)
+    last = np.append(first[1:], True) if len(owner) else first
+    return np.bincount(owner[first], y[last] - y[first] + 1, minlength=n).astype(np.int64)
+
+
+def douglas_peucker(counts: np.ndarray, xy: np.ndarray, distance: float) -> np.ndarray:
+    """Which points of lines of so many consecutive points are needed to stay within the distance, as in lines.douglas_peucker."""
+    keep = np.zeros(len(xy), bool)
+    end = np.cumsum(counts)
+    if distance <= 0:
+        return ~keep
+    keep[(end - counts)[counts > 0]] = keep[end[counts > 0] - 1] = True
+    a, b = (end - counts)[counts > 2], end[counts > 2] - 1
+    while len(a):
+        size = b - a - 1
+        start = np.cumsum(size) - size
+        of, at = np.repeat(np.arange(len(a)), size), ranges(a + 1, size)
+        d = (xy[b] - xy[a])[of]
+        mid, square = xy[at] - xy[a][of], d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]
+        t = np.clip((mid[:, 0] * d[:, 0] + mid[:, 1] * d[:, 1]) / np.where(square > 0, square, 1), 0, 1)
+        far = np.where(square > 0, np.hypot(*(mid - t[:, None] * d).T), np.hypot(*mid.T))
+        most = np.maximum.reduceat(far, start)
+        k = np.minimum.reduceat(np.where(far == most[of], at, len(xy)), start)[most > distance]
+        a, b = a[most > distance], b[most > distance]
+        keep[k] = True
+        a, b = np.concatenate([a, k]), np.concatenate([k, b])
+        a, b = a[b - a > 1], b[b - a > 1]
+    return keep
+
+
+#: Lines of more points go through lines.visvalingam: others of a length are thinned together.
+SHORT = 32
+
+
+def visvalingam(counts: np.ndarray, xy: np.ndarray, distance: float, least: int = 2) -> np.ndarray:
+    """Which points of lines of so many consecutive points are left, as in lines.visvalingam."""
+    keep, starts, limit = np.ones(len(xy), bool), np.cumsum(counts) - counts, 8 * distance * distance
+    for i in np.flatnonzero(counts > SHORT):
+        here = slice(int(starts[i]), int(starts[i] + counts[i]))
+        pts = [(*p, k) for k, p in enumerate(xy[here].tolist())]
+        keep[here] = False
+        keep[starts[i] + np.array([p[2] for p in lines.visvalingam(pts, distance, least)])] = True
+    for n in np.unique(counts[(counts > max(2, least)) & (counts <= SHORT)]):
+        at = starts[counts == n]
+        p = xy[at[:, None] + np.arange(n)]
+        before, after = np.tile(np.arange(-1, n - 1), (len(at), 1)), np.tile(np.arange(1, n + 1), (len(at), 1))
+
+        def size(r, i):
+            a, b, c = p[r, before[r, i]], p[r, i], p[r, after[r, i]]  # noqa: B023
+            return np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (c[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1]))
+
+        now, rows, floor = np.full((len(at), n), np.inf), np.arange(len(at)), np.zeros(len(at))
+        for i in range(1, n - 1):
+            now[:, i] = size(rows, np.full(len(at), i))
+        for _ in range(n - least):
+            i = now[rows].argmin(1)
+            s = now[rows, i]
+            rows, i, s = rows[s < limit], i[s < limit], s[s < limit]
+            if not len(rows):
+                break
+            floor[rows] = np.maximum(floor[rows], s)
+            now[rows, i] = np.inf
+            keep[at[rows] + i] = False
+            b, a = before[rows, i], after[rows, i]
+            after[rows, b], before[rows, a] = a, b
+            for k in (b, a):
+                r = np.flatnonzero((k > 0) & (k < n - 1))
+                now[rows[r], k[r]] = np.maximum(size(rows[r], k[r]), floor[rows[r]])
+    return keep
+
+
+def pixel_counts(counts: np.ndarray, xy: np.ndarray, bbox, extent: int = 4096) -> np.ndarray:
+    """How many pixels lines of so many consecutive points have without repeats, as in lines.quantise."""
+    sx, sy = (bbox[2] - bbox[0]) / extent, (bbox[3] - bbox[1]) / extent
+    px = np.column_stack([np.floor((xy[:, 0] - bbox[0]) / sx), np.floor((bbox[3] - xy[:, 1]) / sy)])
+    new = np.ones(len(xy), bool)
+    new[1:] = (px[1:] != px[:-1]).any(1)
+    new[(np.cumsum(counts) - counts)[counts > 0]] = True
+    return row_sums(new, counts)

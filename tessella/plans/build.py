@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -262,10 +263,14 @@ def box_polygon(min_x: str, min_y: str, max_x: str, max_y: str, projected: bool
 def line_of(ways: DataFrame) -> DataFrame:
     """(id, geom): lines in lon/latp of ways with `coords`."""
 
+    from tessella.kernels import batches as B
+
     def run(batches):
         for batch in batches:
-            rows = [[(p["lon"], render._latp(p["lat"])) for p in line] for line in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wkb.dump(wkb.LINE, r) for r in rows], pa.binary())], names=["id", "geom"])
+            offsets = batch.column(1).offsets.to_numpy().astype(np.int64)
+            lon, lat = (batch.column(1).values.field(k).slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False) for k in ("lon", "lat"))
+            latp = np.array([render._latp(v) for v in lat.tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), B.line_wkb(np.diff(offsets), np.column_stack([lon, latp]))], names=["id", "geom"])
 
     return ways.select("id", "coords").mapInArrow(run, "id long, geom binary")
 
